@@ -28,31 +28,31 @@ def salted_lookup(
     rows: DataFrame,
     facts: DataFrame,
     keys: list[str],
-    count_col: str,
+    hot: DataFrame,
     spread: list[str],
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` to ``facts`` (one row per key), with the hot keys salted.
 
-    ``facts`` carries the number of rows per key in ``count_col``. Rows of a
-    hot key are spread over ``salts`` partitions by a hash of the ``spread``
+    ``hot`` lists hot values of some or all of the keys (see ``hot_keys``).
+    Their rows are spread over ``salts`` partitions by a hash of the ``spread``
     columns (a hash, not a random number, so a re-run task places them alike);
     the one fact row of such a key is repeated per salt.
     """
-    hot = F.broadcast(hot_keys(facts, keys, count_col, hot_rows).withColumn("_hot", F.lit(True)))
+    hot_cols = hot.columns
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
     left = (
-        rows.join(hot, keys, "left")
+        rows.join(marked, hot_cols, "left")
         .withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     right = (
-        facts.join(hot, keys, "left")
+        facts.join(marked, hot_cols, "left")
         .withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot", count_col)
+        .drop("_hot")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.plans.skew import salted_lookup
+from engram.plans.skew import hot_keys, salted_lookup
 
 MAX_BROADCAST_REQUESTS = 16_384
 MAX_BROADCAST_BYTES = 128 << 20
@@ -257,20 +257,21 @@ def _block_plan(memories: DataFrame, requests: DataFrame, dim: int, memory_rows:
         blocks("n_requests", request_rows).alias("q_blocks"),
     )
 
-    def placed(rows: DataFrame, count_col: str, other: str, own: str, repeat: str, key: str) -> DataFrame:
-        facts = grid.drop(other)
+    def placed(rows: DataFrame, count_col: str, own: str, repeat: str, key: str) -> DataFrame:
+        facts = grid.select(*keys, "m_blocks", "q_blocks")
+        hot = hot_keys(grid, keys, count_col)
         own_block = F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int")
         copies = F.sequence(F.lit(0), F.col(f"{repeat}_blocks") - 1)
         return (
-            salted_lookup(rows, facts, keys, count_col, [key], how="inner")
+            salted_lookup(rows, facts, keys, hot, [key], how="inner")
             .withColumn(f"{own}_block", own_block)
             .withColumn(f"{repeat}_block", F.explode(copies))
             .drop("m_blocks", "q_blocks")
         )
 
     block_keys = [*keys, "m_block", "q_block"]
-    left = placed(scoped, "n_memories", "n_requests", "m", "q", "id").groupBy(block_keys)
-    right = placed(asked, "n_requests", "n_memories", "q", "m", "request_id").groupBy(block_keys)
+    left = placed(scoped, "n_memories", "m", "q", "id").groupBy(block_keys)
+    right = placed(asked, "n_requests", "q", "m", "request_id").groupBy(block_keys)
     schema = _winner_schema(memories, requests)
 
     def score(block: pa.Table, asked_block: pa.Table) -> pa.Table:
