@@ -41,9 +41,10 @@ def clamp_unit(similarity: Column) -> Column:
 def mock_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Deterministic stand-in for a model: half-shifted sines of the text hash."""
     start = java_string_hash(text)
-    positions = F.sequence(F.lit(0), F.lit(dim - 1))
+    # the sequence holds the hash, so the lambda does not compute it per position
     return F.transform(
-        positions, lambda i: (F.sin((start + i).cast("double")) * 0.5 + 0.5).cast("float")
+        F.sequence(start, start + F.lit(dim - 1)),
+        lambda x: (F.sin(x.cast("double")) * 0.5 + 0.5).cast("float"),
     )
 
 

@@ -55,6 +55,22 @@ def numbered(
     )
 
 
+def arrival_numbers(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """1-based place of each row in the order of the whole frame.
+
+    Per part only its row count is needed; that one row per part is broadcast.
+    """
+    rows = range_sorted(df, order)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (
+        rows.join(F.broadcast(starts), "_part")
+        .withColumn(out, F.col("_start") + F.col("_idx") + 1)
+        .drop("_start", "_part", "_idx")
+    )
+
+
 def next_in_key(df: DataFrame, key: str, order_col: str, out: str, chunk: int = 1_000_000) -> DataFrame:
     """Add the next value of the integer ``order_col`` within ``key`` (null for the last).
 
