@@ -615,7 +615,7 @@ def tenant_leak_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_audit(spark: SparkSession, sf: str) -> DataFrame:
     found = recall.search(td.vector_memories(spark, sf), td.vector_requests(spark, sf, threshold=-1.0), DIM)
-    broken = quality.check_results(found, ["id", "content"])
+    broken = quality.check_results(found.withColumn("similarity", F.round("similarity", 9)), ["id", "content"])
     return broken.select("request_id", "id", "message")
 
 
