@@ -5,14 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters JavaScript counts as white space.
-JS_WHITESPACE = (
-    r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-)
+# The characters JavaScript counts as white space, ASCII and other.
+ASCII_WHITESPACE = r"\t\n\x0B\f\r "
+OTHER_WHITESPACE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 STRICT_UUID_PATTERN = (
     r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
@@ -26,18 +25,37 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+def _has_non_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.char_length(text)
+
+
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, JS_WHITESPACE + "+", " "))
+    """One space for every run of white space, none at the ends.
+
+    The wide character class is slow, so only texts that hold such a character use it.
+    """
+    runs = F.when(
+        _has_non_ascii(text) & text.rlike(f"[{OTHER_WHITESPACE}]"),
+        F.regexp_replace(text, f"[{ASCII_WHITESPACE}{OTHER_WHITESPACE}]+", " "),
+    ).otherwise(F.regexp_replace(text, f"[{ASCII_WHITESPACE}]+", " "))
+    return F.trim(runs)
+
+
+def _compose(flat: Column) -> Column:
+    """NFC form. Spark has no such function, so Python sees the texts that hold a
+    non-ASCII character; for the others the Arrow column is null."""
+    return F.coalesce(_nfc(F.when(_has_non_ascii(flat), flat)), flat)
 
 
 def normalize_text(text: Column) -> Column:
-    """Trim, collapse white space and compose to NFC.
+    """Trim, collapse white space and compose to NFC."""
+    return _compose(collapse_whitespace(text))
 
-    Spark has no NFC function, so Python sees only the texts that hold a
-    non-ASCII character; for the others the Arrow column is null.
-    """
-    flat = collapse_whitespace(text)
-    return F.coalesce(_nfc(F.when(flat.rlike(r"[^\x00-\x7F]"), flat)), flat)
+
+def with_normalized(df: DataFrame, source: str, out: str) -> DataFrame:
+    """``normalize_text`` as two steps, so the white-space work is done once per row."""
+    flat = df.withColumn("_flat", collapse_whitespace(F.col(source)))
+    return flat.withColumn(out, _compose(F.col("_flat"))).drop("_flat")
 
 
 def content_hash(normalized: Column) -> Column:

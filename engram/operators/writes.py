@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions.text import content_hash, normalize_text, uuid_from
+from engram.functions.text import content_hash, uuid_from, with_normalized
 from engram.functions.vector import mock_embedding
 from engram.operators.recall import nearest
 from engram.plans.skew import hot_keys, salted_lookup
+from engram.session import checkpoint
 from engram.schemas import DEFAULT_NAMESPACE, EMBEDDING_DIM, FREE_MEMORY_QUOTA
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -28,11 +29,16 @@ def mock_embedder(dim: int = EMBEDDING_DIM) -> Embed:
     return lambda df: df.withColumn("embedding", mock_embedding(F.col("content"), dim))
 
 
+def earliest_by_hash(memories: DataFrame) -> DataFrame:
+    """The earliest memory of each (user, namespace, content_hash)."""
+    oldest = F.min(F.struct("created_at", "id"))["id"]
+    return memories.groupBy(_KEY).agg(oldest.alias("existing_id"))
+
+
 def find_by_hash(memories: DataFrame, wanted: DataFrame) -> DataFrame:
     """The earliest memory per (user, namespace, content_hash) of ``wanted`` (P10)."""
     keys = wanted.select(_KEY).distinct()
-    oldest = F.min(F.struct("created_at", "id"))["id"]
-    return memories.join(keys, _KEY, "left_semi").groupBy(_KEY).agg(oldest.alias("existing_id"))
+    return earliest_by_hash(memories.join(keys, _KEY, "left_semi"))
 
 
 def remember(
@@ -53,15 +59,16 @@ def remember(
     for name, default in (("namespace", DEFAULT_NAMESPACE), ("metadata", "{}")):
         given = F.col(name) if name in requests.columns else F.lit(None)
         requests = requests.withColumn(name, F.coalesce(given, F.lit(default)))
-    keyed = requests.select(
-        "seq", "user_id", "tier", "namespace", content_hash(normalize_text(F.col("content"))).alias("content_hash")
-    )
+    hashed = with_normalized(requests, "content", "content").withColumn("content_hash", content_hash(F.col("content")))
+    # one pass over the texts; everything up to the accepted rows works on this narrow table
+    keyed = checkpoint(hashed.select("seq", "user_id", "tier", "namespace", "content_hash"))
     per_key = keyed.groupBy(_KEY).agg(
         F.min("seq").alias("first_seq"),
         F.min(F.when(F.col("tier").eqNullSafe("free"), None).otherwise(F.col("seq"))).alias("first_paid_seq"),
         F.count("*").alias("n"),
     )
-    per_key = per_key.join(find_by_hash(memories, per_key), _KEY, "left")
+    hot = hot_keys(per_key, _KEY, "n")
+    per_key = per_key.join(earliest_by_hash(memories), _KEY, "left")
 
     # Only the first 100 new keys of a user can fall inside the quota, so the
     # rank is cut to 100 rows per user before its shuffle.
@@ -75,9 +82,9 @@ def remember(
 
     accepted = F.when(F.col("within"), F.col("first_seq")).otherwise(F.col("first_paid_seq"))
     facts = per_key.join(within, _KEY, "left").select(
-        *_KEY, "n", "existing_id", F.when(F.col("existing_id").isNull(), accepted).alias("accepted_seq")
+        *_KEY, "existing_id", F.when(F.col("existing_id").isNull(), accepted).alias("accepted_seq")
     )
-    judged = salted_lookup(keyed, facts.drop("n"), _KEY, hot_keys(facts, _KEY, "n"), ["seq"])
+    judged = salted_lookup(keyed, facts, _KEY, hot, ["seq"])
     new_id = uuid_from(*[F.col(c) for c in _KEY], F.col("accepted_seq"))
     status = (
         F.when(F.col("existing_id").isNotNull(), "deduped")
@@ -96,7 +103,7 @@ def remember(
         F.col("accepted_seq").alias("seq"), "content_hash", new_id.alias("id")
     )
     moment = F.lit(as_of).cast("timestamp")
-    rows = chosen.join(requests, "seq").withColumn("content", normalize_text(F.col("content")))
+    rows = with_normalized(chosen.join(requests, "seq"), "content", "content")
     rows = (embed or mock_embedder())(rows)
     inserted = rows.select(
         "id", "user_id", "namespace", "content", "metadata", "embedding", "content_hash",
@@ -123,19 +130,19 @@ def update(
     with its whole request. Several accepted requests for one memory apply in
     order of seq. Returns (new memories table, outcomes).
     """
+    requests = requests.withColumn("content", F.nullif("content", F.lit("")))
+    hashed = with_normalized(requests, "content", "content").select(
+        "seq", "id", "user_id", content_hash(F.col("content")).alias("content_hash"),
+        F.col("metadata").isNotNull().alias("has_metadata"),
+    )
     owner = memories.select("id", "user_id", "namespace")
-    asked = requests.join(owner, ["id", "user_id"], "left")
-    text = normalize_text(F.nullif("content", F.lit("")))
-    asked = asked.withColumn("content", text).withColumn("content_hash", content_hash(F.col("content")))
-    asked = asked.withColumn("owned", F.col("namespace").isNotNull())
+    # one pass over the texts; the verdicts work on this narrow table
+    asked = checkpoint(hashed.join(owner, ["id", "user_id"], "left"))
+    owned = F.col("namespace").isNotNull()
 
-    targets = asked.where(F.col("owned") & F.col("content_hash").isNotNull()).select(*_KEY, "seq", "id")
+    targets = asked.where(owned & F.col("content_hash").isNotNull()).select(*_KEY, "seq", "id")
     # a holder other than this memory exists when the least or the greatest holder id differs from it
-    holders = (
-        memories.join(targets.select(_KEY).distinct(), _KEY, "left_semi")
-        .groupBy(_KEY)
-        .agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
-    )
+    holders = memories.groupBy(_KEY).agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
     free_targets = targets.join(holders, _KEY, "left").where(
         F.coalesce((F.col("least_id") == F.col("id")) & (F.col("most_id") == F.col("id")), F.lit(True))
     )
@@ -144,24 +151,28 @@ def update(
     allowed = allowed.select("seq", F.lit(True).alias("allowed"))
 
     judged = asked.join(allowed, "seq", "left")
-    error = F.when(~F.col("owned"), "not_found").when(
+    error = F.when(~owned, "not_found").when(
         F.col("content_hash").isNotNull() & F.col("allowed").isNull(), "validation_error"
     )
     judged = judged.withColumn("error_code", error)
     outcomes = judged.select(
         "seq", "id", F.when(F.col("error_code").isNull(), "ok").otherwise("rejected").alias("status"), "error_code"
     )
-    effective = judged.where(
-        F.col("error_code").isNull() & (F.col("content").isNotNull() | F.col("metadata").isNotNull())
-    )
-    # last given value per column; narrow, because the texts are joined back by seq
-    last = effective.groupBy("id").agg(
-        F.max(F.when(F.col("content").isNotNull(), F.col("seq"))).alias("content_seq"),
-        F.max(F.when(F.col("metadata").isNotNull(), F.col("seq"))).alias("metadata_seq"),
+    has_text = F.col("content_hash").isNotNull()
+    # last given value per column
+    last = (
+        judged.where(F.col("error_code").isNull() & (has_text | F.col("has_metadata")))
+        .groupBy("id")
+        .agg(
+            F.max(F.when(has_text, F.struct("seq", "content_hash"))).alias("text"),
+            F.max(F.when(F.col("has_metadata"), F.col("seq"))).alias("metadata_seq"),
+        )
+        .select("id", F.col("text.seq").alias("content_seq"), "text.content_hash", "metadata_seq")
     )
-    texts = effective.where(F.col("content").isNotNull()).select(F.col("seq").alias("content_seq"), "content", "content_hash")
-    metas = effective.where(F.col("metadata").isNotNull()).select(F.col("seq").alias("metadata_seq"), "metadata")
-    texts = (embed or mock_embedder())(texts.join(last.select("content_seq"), "content_seq", "left_semi"))
+    texts = requests.select(F.col("seq").alias("content_seq"), "content")
+    texts = texts.join(last.select("content_seq"), "content_seq", "left_semi")
+    texts = (embed or mock_embedder())(with_normalized(texts, "content", "content"))
+    metas = requests.select(F.col("seq").alias("metadata_seq"), "metadata")
     changes = last.join(texts, "content_seq", "left").join(metas, "metadata_seq", "left").select(
         "id", *[F.col(c).alias("new_" + c) for c in ("content", "content_hash", "embedding", "metadata")],
         F.lit(as_of).cast("timestamp").alias("new_updated_at"),

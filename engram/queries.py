@@ -126,7 +126,7 @@ def list_keyset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_hash(spark: SparkSession, sf: str) -> DataFrame:
-    rows = td.text_requests(spark, sf).select("seq", tx.normalize_text(F.col("content")).alias("text"))
+    rows = tx.with_normalized(td.text_requests(spark, sf), "content", "text")
     return rows.select(
         F.col("seq").alias("doc_id"),
         tx.utf16_length(F.col("text")).cast("bigint").alias("units"),
@@ -178,7 +178,7 @@ def _stored(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled documents as memories that are already stored."""
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("seq")).distinct()
     rows = td.text_requests(spark, sf).join(labels, "seq", "left_semi")
-    rows = rows.withColumn("content", tx.normalize_text(F.col("content")))
+    rows = tx.with_normalized(rows, "content", "content")
     moment = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("seq"))
     return rows.select(
         F.col("seq").cast("string").alias("id"), "user_id", "namespace", "content", "metadata",
@@ -203,7 +203,8 @@ def remember_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def find_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     asked = td.text_requests(spark, sf)
-    wanted = asked.select("user_id", "namespace", tx.content_hash(tx.normalize_text(F.col("content"))).alias("content_hash"))
+    asked = tx.with_normalized(asked, "content", "content")
+    wanted = asked.select("user_id", "namespace", tx.content_hash(F.col("content")).alias("content_hash"))
     return writes.find_by_hash(_stored(spark, sf), wanted)
 
 
