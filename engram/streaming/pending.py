@@ -70,7 +70,7 @@ def confirm_stream(events: DataFrame, live: bool = True) -> DataFrame:
 
     On a live stream unused tokens leave the state a sweep after their expiry.
     With ``live=False`` (replay of old events) they stay, since that clock is
-    processing time. Needs the RocksDB state store.
+    processing time, and the availableNow trigger can end. Needs the RocksDB state store.
     """
     ttl = PENDING_DELETION_TTL_SECONDS + _SWEEP_SECONDS if live else None
     return events.groupBy("token").transformWithStateInPandas(

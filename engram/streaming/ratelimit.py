@@ -65,7 +65,8 @@ def rate_limit_stream(
 
     Order holds inside a micro-batch; later batches never change earlier
     decisions. Give ``idle_ttl_seconds`` on a live stream to drop idle buckets;
-    leave it out when old calls are replayed, since it runs on processing time.
+    leave it out when old calls are replayed, since it runs on processing time
+    (such a stream also never ends by itself under the availableNow trigger).
     """
     if idle_ttl_seconds is not None:
         check_idle_ttl(buckets, idle_ttl_seconds)
