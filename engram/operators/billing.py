@@ -64,33 +64,33 @@ def fold(
     priced = lookup_prices(ordered, prices)
 
     changed, deleted = F.col("event_type").isin(*SUBSCRIPTION_CHANGED), F.col("event_type") == SUBSCRIPTION_DELETED
-    binding = (F.col("event_type") == CUSTOMER_CREATED) & F.col("app_user_id").isNotNull() & (F.col("app_user_id") != "")
     tier = F.when(deleted, F.lit("free")).when(changed, F.col("new_tier"))
-    staged = priced.select(
-        "id", "n", "event_type", "customer_id", "app_user_id", "object_id", tier.alias("tier"), binding.alias("binds")
+    subscription = priced.select("n", "id", "customer_id", tier.alias("tier")).where(
+        F.col("tier").isNotNull() & F.col("customer_id").isNotNull()
     )
+    # only bindings are joined to users, so the many events without a user id never meet on a null key
+    binding = (F.col("event_type") == CUSTOMER_CREATED) & (F.col("app_user_id") != "")
     known = users.select(F.col("id").alias("app_user_id"), F.lit(True).alias("known"))
-    staged = staged.join(known, "app_user_id", "left")
+    bindings = ordered.where(binding).join(known, "app_user_id", "left")
 
     # Customer bindings as intervals of the arrival order: a user's customer id
     # holds until the user's next binding.
     starts = users.where(F.col("stripe_customer_id").isNotNull()).select(
         F.col("id").alias("user_id"), F.col("stripe_customer_id").alias("customer_id"), F.lit(0).cast("bigint").alias("start")
     )
-    bound = staged.where("binds and known").select(
+    bound = bindings.where("known").select(
         F.col("app_user_id").alias("user_id"), F.col("object_id").alias("customer_id"), F.col("n").alias("start")
     )
     upper = (ordered.agg(F.max("n")).first()[0] or 0) + 1
     intervals = next_in_key(starts.unionByName(bound), "user_id", "start", "stop")
     intervals = intervals.withColumn("stop", F.coalesce("stop", F.lit(upper)))
-    subscription = staged.where(F.col("tier").isNotNull() & F.col("customer_id").isNotNull())
     owners = stabbing_min(subscription, intervals, "customer_id", "n", "n", "user_id", upper)
 
     effects = subscription.join(owners, "n").select("n", "id", "user_id", "tier", "n_bound")
     bad_tier = effects.where(~is_tier(F.col("tier"))).select("id", F.lit("invalid_tier").alias("error_code"))
     # a well-formed id of no user binds nothing and is done; a malformed one can never be applied
-    malformed = F.col("binds") & F.col("known").isNull() & ~is_uuid(F.col("app_user_id"))
-    unbound = staged.where(malformed).select("id", F.lit("invalid_app_user_id").alias("error_code"))
+    malformed = F.col("known").isNull() & ~is_uuid(F.col("app_user_id"))
+    unbound = bindings.where(malformed).select("id", F.lit("invalid_app_user_id").alias("error_code"))
     rejects = bad_tier.unionByName(unbound)
     effects = effects.where(is_tier(F.col("tier")))
 

@@ -10,6 +10,7 @@ from engram.functions.vector import clamp_unit
 from engram.operators.recall import search
 from engram.operators.writes import delete_ids
 from engram.schemas import EMBEDDING_DIM, PENDING_DELETION_TTL_SECONDS
+from engram.session import checkpoint
 
 
 def preview(
@@ -31,7 +32,10 @@ def preview(
         requests = requests.withColumn(name, F.coalesce(given, F.lit(default)))
     requests = requests.withColumn("namespace", F.nullif("namespace", F.lit("")))
     found = search(memories, requests, dim, strategy)
-    matches = found.select("request_id", "rank", "id", "content", clamp_unit(F.col("similarity")).alias("similarity"))
+    # at most k rows per request; all three results read them, so they are scored once
+    matches = checkpoint(
+        found.select("request_id", "rank", "id", "content", clamp_unit(F.col("similarity")).alias("similarity"))
+    )
     # at most k ids per request
     per_request = matches.groupBy("request_id").agg(
         F.count("*").alias("total_matches"),

@@ -61,13 +61,13 @@ def _scoped(df: DataFrame) -> DataFrame:
     return df.withColumn("scope", F.coalesce(space, F.lit(""))).withColumn("all_spaces", space.isNull())
 
 
-def _rows_in_scopes(memories: DataFrame, wants: DataFrame, columns: list[str]) -> DataFrame:
+def _rows_in_scopes(memories: DataFrame, wants: DataFrame, column: str, whole_users: bool) -> DataFrame:
     """Narrow memory rows of the requested scopes, once per scope they belong to."""
-    scopes = wants.select(_SCOPE).distinct()
-    narrow = memories.select("user_id", "namespace", "id", *columns)
-    one = narrow.withColumn("scope", F.col("namespace")).withColumn("all_spaces", F.lit(False))
-    both = one.unionByName(narrow.withColumn("scope", F.lit("")).withColumn("all_spaces", F.lit(True)))
-    return both.drop("namespace").join(scopes, _SCOPE, "left_semi")
+    in_space = F.struct(F.col("namespace").alias("scope"), F.lit(False).alias("all_spaces"))
+    in_all = F.struct(F.lit("").alias("scope"), F.lit(True).alias("all_spaces"))
+    kinds = F.array(in_space, in_all) if whole_users else F.array(in_space)
+    rows = memories.select("user_id", "id", column, F.explode(kinds).alias("s")).select("user_id", "id", column, "s.*")
+    return rows.join(wants.select(_SCOPE).distinct(), _SCOPE, "left_semi")
 
 
 def _pick(places: DataFrame, wants: DataFrame, memories: DataFrame, extra: int, display: list[str]) -> DataFrame:
@@ -100,7 +100,7 @@ def list_pages(memories: DataFrame, requests: DataFrame) -> DataFrame:
         part = wants.where(F.col("by_updated") == by_updated)
         if by_updated and part.isEmpty():
             continue
-        places = numbered(_rows_in_scopes(memories, part, [column]), _SCOPE, [F.col(column), F.col("id")])
+        places = numbered(_rows_in_scopes(memories, part, column, False), _SCOPE, [F.col(column), F.col("id")])
         display = ["content", "namespace", "created_at", "updated_at"]
         pages.append(_pick(places, part, memories, 0, display))
     out = pages[0]
@@ -117,7 +117,7 @@ def keyset_pages(memories: DataFrame, requests: DataFrame) -> DataFrame:
     the rows, so a cursor whose row is gone still finds its place.
     """
     wants = _scoped(requests)
-    rows = _rows_in_scopes(memories, wants, ["created_at"]).withColumn("request_id", F.lit(None))
+    rows = _rows_in_scopes(memories, wants, "created_at", True).withColumn("request_id", F.lit(None))
     marks = wants.where(F.col("cursor_id").isNotNull()).select(
         *_SCOPE,
         F.col("cursor_id").alias("id"),

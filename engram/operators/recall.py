@@ -194,3 +194,10 @@ def recall_approximate(
     return ranked.where(F.col("rank") <= F.col("k")).select(
         "request_id", "rank", "id", clamp_unit(F.col("sim")).alias("similarity"), "created_at"
     )
+
+
+def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact answers that an approximate search found (R5), in one row."""
+    hits = found.select("request_id", "id", F.lit(1).alias("hit"))
+    pairs = exact.select("request_id", "id").join(hits, ["request_id", "id"], "left")
+    return pairs.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

@@ -16,8 +16,8 @@ from engram.functions.text import content_hash, uuid_from, with_normalized
 from engram.functions.vector import mock_embedding
 from engram.operators.recall import nearest
 from engram.plans.skew import hot_keys, salted_lookup
-from engram.session import checkpoint
 from engram.schemas import DEFAULT_NAMESPACE, EMBEDDING_DIM, FREE_MEMORY_QUOTA
+from engram.session import checkpoint
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -273,9 +273,15 @@ def delete_users(
 
 
 def insert_once(table: DataFrame, arrivals: DataFrame, key: str = "id", order: str = "received_at") -> DataFrame:
-    """Arrivals whose id the table does not hold yet, the first delivery of each."""
-    first = arrivals.groupBy(key).agg(F.min_by(F.struct(*arrivals.columns), order).alias("row"))
-    return first.select("row.*").join(table.select(key), key, "left_anti")
+    """Arrivals whose id the table does not hold yet, the first delivery of each.
+
+    The long table is first cut to the ids that arrive, which needs no shuffle
+    of it while the arrivals are few.
+    """
+    held = table.select(key).join(arrivals.select(key), key, "left_semi")
+    fresh = arrivals.join(held, key, "left_anti")
+    first = fresh.groupBy(key).agg(F.min_by(F.struct(*arrivals.columns), order).alias("row"))
+    return first.select("row.*")
 
 
 def split_by_tenant(rows: DataFrame, context_user: str = "ctx_user_id") -> tuple[DataFrame, DataFrame]:

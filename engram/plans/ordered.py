@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from engram.session import checkpoint
 
+ROWS_PER_PART = 5_000_000
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
 def range_sorted(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """Sorted, evenly split, checkpointed rows with ``_part`` and ``_idx`` (place in the part)."""
+    """Sorted, evenly split, checkpointed rows with ``_part`` and ``_idx`` (place in the part).
+
+    Without ``partitions`` their number follows the row count.
+    """
     if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(least, -(-df.count() // ROWS_PER_PART))
     split = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     return checkpoint(

@@ -149,6 +149,8 @@ def test_approximate_recall(spark):
     rough = {(r.request_id, r.id): r.similarity for r in recall.recall_approximate(m, q, 64, tables=12, bits=3).collect()}
     hits = [pair for pair in exact if pair in rough]
     assert len(hits) / len(exact) > 0.9
+    shares = recall.recall_at_k(recall.recall_approximate(m, q, 64, tables=12, bits=3), recall.recall(m, q, 64))
+    assert shares.first().recall == pytest.approx(len(hits) / len(exact))
     assert all(rough[pair] == pytest.approx(exact[pair]) for pair in hits)
 
 
