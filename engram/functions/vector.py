@@ -40,12 +40,12 @@ def clamp_unit(similarity: Column) -> Column:
 
 def mock_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Deterministic stand-in for a model: half-shifted sines of the text hash."""
-    start = java_string_hash(text)
-    # the sequence holds the hash, so the lambda does not compute it per position
-    return F.transform(
-        F.sequence(start, start + F.lit(dim - 1)),
-        lambda x: (F.sin(x.cast("double")) * 0.5 + 0.5).cast("float"),
-    )
+    def waves(start: Column) -> Column:
+        angles = F.sequence(start, start + F.lit(dim - 1))
+        return F.transform(angles, lambda x: (F.sin(x.cast("double")) * 0.5 + 0.5).cast("float"))
+
+    # the outer one-element array names the hash, so it is computed once
+    return F.transform(F.array(java_string_hash(text)), waves)[0]
 
 
 def has_dimension(embedding: Column, dim: int = EMBEDDING_DIM) -> Column:

@@ -12,6 +12,7 @@ from engram.functions.tiers import blank_to_null, is_tier
 from engram.operators.writes import insert_once
 from engram.plans.intervals import stabbing_min
 from engram.plans.ordered import arrival_numbers, next_in_key
+from engram.session import checkpoint
 from engram.sources.tables import billing_fields
 
 # The event types that have an effect.
@@ -59,7 +60,8 @@ def fold(
     """
     fresh = insert_once(inbox, events)
     fields = billing_fields(F.col("payload"))
-    parsed = fresh.select("id", "event_type", "received_at", *[c.alias(n) for n, c in fields.items()])
+    # parsed once into a narrow table; ordering reads it several times
+    parsed = checkpoint(fresh.select("id", "event_type", "received_at", *[c.alias(n) for n, c in fields.items()]))
     ordered = arrival_numbers(parsed, [F.col("received_at"), F.col("id")], "n")
     priced = lookup_prices(ordered, prices)
 

@@ -30,7 +30,8 @@ def preview(
     for name, default in (("threshold", 0.85), ("k", 10)):
         given = F.col(name) if name in requests.columns else F.lit(None)
         requests = requests.withColumn(name, F.coalesce(given, F.lit(default)))
-    requests = requests.withColumn("namespace", F.nullif("namespace", F.lit("")))
+    space = F.col("namespace") if "namespace" in requests.columns else F.lit(None).cast("string")
+    requests = requests.withColumn("namespace", F.nullif(space, F.lit("")))
     found = search(memories, requests, dim, strategy)
     # at most k rows per request; all three results read them, so they are scored once
     matches = checkpoint(

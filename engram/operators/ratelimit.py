@@ -13,7 +13,7 @@ from math import lcm
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,14 +197,12 @@ class _Run:
         return at
 
 
-def _batches(pdfs: Iterator[pd.DataFrame], units: Units):
+def _batches(pdfs: Iterator[pd.DataFrame]):
     """Per batch: keys, arrays, and the row ranges of its runs."""
     for pdf in pdfs:
         if not len(pdf):
             continue
-        tier = pdf["tier"].map(lambda t: t if t in units.capacity else "free")
-        cap = tier.map(units.capacity).to_numpy(np.int64)
-        rate = tier.map(units.gain).to_numpy(np.int64)
+        cap, rate = pdf["cap"].to_numpy(np.int64), pdf["rate"].to_numpy(np.int64)
         keys = pdf["key"].to_numpy()
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         yield pdf, keys, pdf["ts_ms"].to_numpy(np.int64), cap, rate, list(zip(starts, np.append(starts[1:], len(keys))))
@@ -233,7 +231,7 @@ def _summarize(units: Units):
 
     def run_part(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, head, part = None, None, None
-        for pdf, keys, ts, cap, rate, ranges in _batches(pdfs, units):
+        for pdf, keys, ts, cap, rate, ranges in _batches(pdfs):
             if head is None:
                 part = int(pdf["_part"].iloc[0])
                 head = (keys[0], int(ts[0]), int(cap[0]), int(rate[0]))
@@ -290,12 +288,20 @@ def replay(calls: DataFrame, buckets: dict[str, Bucket] = TIER_BUCKETS, partitio
     if "free" not in buckets:
         raise ValueError("unknown tiers use the 'free' bucket, so it must be given")
     units = Units.of(buckets)
-    named = calls.withColumn("key", F.col("key").cast("string"))
+    retry = {tier: b.retry_after_seconds for tier, b in buckets.items()}
+
+    def by_tier(values: dict[str, int]) -> Column:
+        pairs = F.create_map(*[F.lit(x).cast(t) for item in values.items() for x, t in zip(item, ("string", "bigint"))])
+        return F.coalesce(F.try_element_at(pairs, F.col("tier")), F.lit(values["free"]).cast("bigint"))
+
+    named = calls.select(
+        F.col("key").cast("string").alias("key"), "ts_ms", "seq",
+        by_tier(units.capacity).alias("cap"), by_tier(units.gain).alias("rate"), by_tier(retry).alias("wait"),
+    )
     rows = range_sorted(named, [F.col("key"), F.col("ts_ms"), F.col("seq")], partitions)
-    narrow = rows.select("key", "tier", "ts_ms", "_part")
+    narrow = rows.select("key", "ts_ms", "cap", "rate", "_part")
     entries = _entry_levels(narrow.mapInPandas(_summarize(units), _SUMMARY).collect())
     shared = calls.sparkSession.sparkContext.broadcast(entries)
-    retry = {tier: b.retry_after_seconds for tier, b in buckets.items()}
     schema = T.StructType(
         [
             T.StructField("key", T.StringType()),
@@ -309,7 +315,7 @@ def replay(calls: DataFrame, buckets: dict[str, Bucket] = TIER_BUCKETS, partitio
 
     def decide(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = None
-        for pdf, keys, ts, cap, rate, ranges in _batches(pdfs, units):
+        for pdf, keys, ts, cap, rate, ranges in _batches(pdfs):
             allowed, levels = [], []
             for lo, hi in ranges:
                 if run is None:
@@ -321,7 +327,6 @@ def replay(calls: DataFrame, buckets: dict[str, Bucket] = TIER_BUCKETS, partitio
                 allowed += a
                 levels += v
             ok = np.array(allowed)
-            wait = pdf["tier"].map(lambda t: retry.get(t, retry["free"])).to_numpy(np.int64)
             yield pd.DataFrame(
                 {
                     "key": keys,
@@ -329,9 +334,9 @@ def replay(calls: DataFrame, buckets: dict[str, Bucket] = TIER_BUCKETS, partitio
                     "ts_ms": ts,
                     "allowed": ok,
                     "remaining": np.where(ok, np.array(levels, dtype=np.int64) // units.token, 0),
-                    "retry_after": pd.array(np.where(ok, 0, wait), dtype="Int64"),
+                    "retry_after": pdf["wait"].to_numpy(),
                 }
             )
 
-    decided = rows.select("key", "tier", "ts_ms", "seq", "_part").mapInPandas(decide, schema)
+    decided = rows.drop("_idx").mapInPandas(decide, schema)
     return decided.withColumn("retry_after", F.when(~F.col("allowed"), F.col("retry_after")))

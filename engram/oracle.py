@@ -441,7 +441,7 @@ effects AS (
   FROM changes c JOIN spans s ON s.customer_id = c.customer_id AND c.n >= s.start AND c.n < s.stop
   WHERE c.tier IS NOT NULL GROUP BY c.n, c.id, c.tier)"""
 )
-_SEEN = "event_type = 'customer.subscription.updated' AND id LIKE '%7'"
+_SEEN = "event_type = 'customer.subscription.updated'"
 _FOLDED = """ SELECT p.id, coalesce(t.tier, p.tier) AS tier, 'cus_' || (p.n + 7) AS stripe_customer_id
 FROM people p LEFT JOIN (SELECT user_id, arg_max(tier, n) AS tier FROM effects GROUP BY user_id) t ON t.user_id = p.id"""
 ORACLE_SQL["billing_fold"] = _FOLD.replace("{seen}", _SEEN) + _FOLDED

@@ -21,6 +21,8 @@ def build_session(app: str = "engram", master: str | None = None, **conf: str) -
         # split a skewed join even when that costs one more shuffle downstream
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # drop checkpoint files once no plan refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
     }
     for key, value in {**defaults, **conf}.items():
@@ -33,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     A cluster must name it, so nothing lands on one machine's disk.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="engram-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="engram-"))
+    return configured or sc.getCheckpointDir()
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -49,7 +51,5 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
