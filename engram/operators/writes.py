@@ -282,9 +282,3 @@ def insert_once(table: DataFrame, arrivals: DataFrame, key: str = "id", order: s
     fresh = arrivals.join(held, key, "left_anti")
     first = fresh.groupBy(key).agg(F.min_by(F.struct(*arrivals.columns), order).alias("row"))
     return first.select("row.*")
-
-
-def split_by_tenant(rows: DataFrame, context_user: str = "ctx_user_id") -> tuple[DataFrame, DataFrame]:
-    """Write check of P1: rows owned by their context user, and the rejected rest."""
-    own = F.coalesce(F.col("user_id") == F.col(context_user), F.lit(False))
-    return rows.where(own), rows.where(~own).withColumn("error_code", F.lit("tenant_violation"))

@@ -343,6 +343,10 @@ ORACLE_SQL["tenant_split"] = (
     + """ SELECT id, user_id, CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '0' END AS ctx_user_id,
   'tenant_violation' AS error_code FROM mem WHERE vec_id % 4 = 0 OR (vec_id % 4 = 1 AND user_id <> '0')"""
 )
+ORACLE_SQL["tenant_rows"] = (
+    _with(_USE, _USERS)
+    + " SELECT id, user_id, tool_name FROM use WHERE user_id IN (SELECT id FROM people WHERE tier = 'free')"
+)
 
 _SUMS = """count(*) AS calls, count(*) AS tokens, count(*) FILTER (success) AS successes,
   count(*) FILTER (NOT success) AS failures, CAST(0 AS BIGINT) AS rate_limited"""

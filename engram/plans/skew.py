@@ -10,14 +10,14 @@ MAX_HOT_KEYS = 256
 SALTS = 64
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with at least ``hot_rows`` rows, largest first, at most ``MAX_HOT_KEYS``.
+def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int | None = None) -> DataFrame:
+    """The keys with at least ``hot_rows`` (``HOT_ROWS``) rows, largest first, at most ``MAX_HOT_KEYS``.
 
     The limit bounds what is broadcast. It does not change results: a key that
     is not listed only loses the salting.
     """
     return (
-        counts.where(F.col(count_col) >= hot_rows)
+        counts.where(F.col(count_col) >= (HOT_ROWS if hot_rows is None else hot_rows))
         .orderBy(F.col(count_col).desc(), *keys)
         .limit(MAX_HOT_KEYS)
         .select(*keys)

@@ -12,7 +12,7 @@ from engram.functions import vector as vec
 from engram.functions.metadata import metadata_contains
 from engram.functions.redact import redact_df
 from engram.functions.tiers import Bucket
-from engram.operators import billing, forget, keys, paging, quality, ratelimit, recall, usage, writes
+from engram.operators import billing, forget, keys, paging, quality, ratelimit, recall, tenancy, usage, writes
 from engram.session import new_dir
 from engram.sources import testdata as td
 from engram.sources.sinks import json_rows
@@ -333,7 +333,13 @@ def tenant_split(spark: SparkSession, sf: str) -> DataFrame:
     number = F.col("id").cast("bigint")
     context = F.when(number % 4 == 0, F.lit(None)).when(number % 4 == 1, F.lit("0")).otherwise(F.col("user_id"))
     rows = td.vector_memories(spark, sf).select("id", "user_id", context.alias("ctx_user_id"))
-    return writes.split_by_tenant(rows)[1]
+    return tenancy.split_by_tenant(rows)[1]
+
+
+def tenant_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage events of the users on the free tier."""
+    contexts = td.users(spark, sf).where(F.col("tier") == "free").select(F.col("id").alias("user_id"))
+    return tenancy.visible_rows(td.usage_events(spark, sf), contexts).select("id", "user_id", "tool_name")
 
 
 # --- usage -----------------------------------------------------------------
@@ -689,6 +695,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_text, escape_text, redact_log, json_results, remember_quota, remember_rows, find_by_hash,
         update_content, update_metadata, update_fields, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
+        tenant_rows,
         usage_summary, usage_rollup, usage_latency, usage_errors, usage_timeline, usage_by_key, usage_windows,
         usage_build, memory_counts, quota_headroom, rate_limit_replay, billing_fold, billing_effects,
         billing_processed, price_lookup, unprocessed_events, insert_once, subscription_messages, effective_tier,

@@ -1,4 +1,4 @@
-"""Sinks: appended memories and usage events, JSON results."""
+"""Sinks: memories (appended, or laid out for reads), usage events, JSON results."""
 
 from __future__ import annotations
 
@@ -37,6 +37,17 @@ def append_memories(rows: DataFrame, path: str, batch_id: str, as_of) -> DataFra
     return complete.select("id")
 
 
+def write_clustered(memories: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write the memories table sorted by (user, namespace, created_at) over all files.
+
+    Parquet's min/max values then let a read of one user or namespace skip the
+    other files. Ranges include the time, so a large user fills several files.
+    """
+    order = ["user_id", "namespace", "created_at", "id"]
+    spread = memories.repartitionByRange(partitions, *order) if partitions else memories.repartitionByRange(*order)
+    spread.sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+
+
 def append_usage(events: DataFrame, path: str, on_error: Callable[[Exception], None] | None = None) -> bool:
     """Append usage events; a failed write is reported and never raised."""
     try:

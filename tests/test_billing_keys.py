@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import billing, keys
+from engram.plans import skew
 from engram.schemas import API_KEYS, BILLING_EVENTS, USERS
 
 AS_OF = "2025-01-01 00:00:00"
@@ -75,8 +76,10 @@ def frames(spark, users, events):
     return u, spark.createDataFrame(events, BILLING_EVENTS), spark.createDataFrame(list(PRICES.items()), "price_id string, tier string")
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_fold_equals_serving_one_by_one(spark, seed):
+@pytest.mark.parametrize("seed,hot_rows", [(1, None), (2, None), (3, 20)])
+def test_fold_equals_serving_one_by_one(spark, monkeypatch, seed, hot_rows):
+    if hot_rows:
+        monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rnd = random.Random(seed)
     users = [(uid(i), "free", rnd.choice([None, "cus0", "cus1"])) for i in range(5)]
     events = random_events(rnd, 400)

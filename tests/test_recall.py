@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions.metadata import filter_tags, metadata_tags
 from engram.functions.vector import mock_embedding
 from engram.operators import quality, recall
+from engram.plans import skew
 from engram.plans.topk import top_k
 
 DIM = 8
@@ -77,7 +78,8 @@ def brute(memories, requests):
 
 
 @pytest.mark.parametrize("strategy,blocks", [("broadcast", (1000, 1000)), ("blocks", (40, 7)), ("blocks", (10_000, 2000))])
-def test_top_k_matches_brute_force(spark, strategy, blocks):
+def test_top_k_matches_brute_force(spark, monkeypatch, strategy, blocks):
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)  # the hot user takes the salted path
     memories, requests, m, r = make(spark, 600, 80, seed=3)
     m, r = m.withColumn("tags", metadata_tags(F.col("metadata"))), r.withColumn("tags", filter_tags(F.col("metadata_filter")))
     rows = top_k(m.repartition(5, "id"), r, DIM, strategy, *blocks).collect()

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.functions.vector import VECTOR
-from engram.operators import forget, usage, writes
-from engram.sources.sinks import append_memories, append_usage
+from engram.operators import forget, tenancy, usage, writes
+from engram.plans import skew
+from engram.sources.sinks import append_memories, append_usage, write_clustered
 from engram.sources.tables import read_table
 
 AS_OF = "2025-01-01 00:00:00"
@@ -50,8 +51,10 @@ def serve_one_by_one(stored, requests):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_remember_equals_serving_one_by_one(spark, seed):
+@pytest.mark.parametrize("seed,hot_rows", [(1, None), (2, 20)])
+def test_remember_equals_serving_one_by_one(spark, monkeypatch, seed, hot_rows):
+    if hot_rows:  # take the salted path for many keys
+        monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rnd = random.Random(seed)
     stored = [memory(f"s{i}", f"u{i % 4}", "n", f"text {i}", i) for i in range(250)]
     stored += [memory(f"d{i}", "u1", "n", "text 5", 900 + i) for i in range(3)]
@@ -227,8 +230,24 @@ def test_append_and_tenant_check(spark, tmp_path):
     back = read_table(spark, "memories", path)
     assert {r.id for r in back.collect()} == ids and len(ids) == 2
     assert {r.metadata for r in back.collect()} == {"{}", '{"a":1}'}
-    good, bad = writes.split_by_tenant(back.withColumn("ctx_user_id", F.lit("u")))
+    good, bad = tenancy.split_by_tenant(back.withColumn("ctx_user_id", F.lit("u")))
     assert (good.count(), bad.count()) == (1, 1)
+    contexts = spark.createDataFrame([("v",), (None,), ("v",)], "user_id string")
+    assert [r.user_id for r in tenancy.visible_rows(back, contexts).collect()] == ["v"]
+    with pytest.raises(Exception, match="Invalid user ID format: v"):
+        tenancy.require_contexts(contexts).collect()
+
+
+def test_clustered_layout(spark, tmp_path):
+    rows = [memory(f"m{i:04d}", "big" if i % 3 else f"u{i % 9}", "n", f"text {i}", i) for i in range(600)]
+    path = str(tmp_path / "memories")
+    write_clustered(table(spark, rows), path, 4)
+    back = read_table(spark, "memories", path)
+    assert back.count() == 600
+    files = back.groupBy(F.input_file_name().alias("f")).agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+    # files hold ranges of users: a small user is in one or two files, the big one in several
+    found = files.collect()
+    assert sum(r.lo <= "u6" <= r.hi for r in found) <= 2 and sum(r.lo <= "big" <= r.hi for r in found) >= 2
 
 
 def test_usage_write_failure_is_reported(spark, tmp_path):
