@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import simhash, topk
+from engram.llm import linededup, simhash, topk, toxicity
 from engram.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, toxicity.label_grades(table(spark, sf, "labels")), top=2)
+    scored = toxicity.score(docs, model)
+    return scored.withColumn("rejected", F.col("severity") >= toxicity.REJECT_FROM)
+
+
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = linededup.dedup_lines(table(spark, sf, "documents"))
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    return cut.select("doc_id", "_cut.n_lines", "_cut.n_removed", size.cast("long").alias("n_bytes_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -22,6 +35,8 @@ def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op5_simhash_dedup": op5_simhash_dedup,
 }
