@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import linededup, simhash, topk, toxicity
+from engram.llm import linededup, pieces, simhash, tokencounts, topk, toxicity
 from engram.llm.common import table
+from engram.session import new_dir
 
 
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,11 +35,45 @@ def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = pieces.encode(table(spark, sf, "documents"))
+    back = F.xxhash64(pieces.decode(F.col("ids"))) == F.col("key")
+    return drawn.select(
+        "doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        "log_prob", "perturbed", "log_inclusion", back.alias("round_trip"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches: every document; those of low quality deleted; the toxic ones
+    recounted with white space collapsed; the Spanish ones under another version.
+    The second batch is delivered twice."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    store = new_dir(spark, "token-counts")
+
+    def events(counted: DataFrame, op: str, seq: int) -> DataFrame:
+        return counted.withColumn("op", F.lit(op)).withColumn("seq", F.lit(seq))
+
+    tokencounts.commit(spark, store, 0, events(tokencounts.count_tokens(docs), "insert", 0))
+    poor = labels.where("quality = 0").select("doc_id", F.lit(tokencounts.VERSION).alias("version"))
+    gone = events(poor.withColumns({"source": F.lit(None), "lang": F.lit(None), "tokens": F.lit(0)}), "delete", 1)
+    tokencounts.commit(spark, store, 1, gone)
+    toxic = docs.join(labels.where("toxic = 1 and quality = 1").select("doc_id"), "doc_id", "left_semi")
+    short = toxic.withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    tokencounts.commit(spark, store, 2, events(tokencounts.count_tokens(short), "revise", 2))
+    tokencounts.commit(spark, store, 1, gone)
+    other = tokencounts.count_tokens(docs.where("lang = 'es'"), "byte_bpe_multi_50k")
+    tokencounts.commit(spark, store, 3, events(other, "insert", 3))
+    return tokencounts.totals(spark, store)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
