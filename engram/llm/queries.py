@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import linededup, pieces, simhash, tokencounts, topk, toxicity
+from engram.llm import decontam, linededup, pieces, simhash, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -35,6 +35,10 @@ def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     drawn = pieces.encode(table(spark, sf, "documents"))
     back = F.xxhash64(pieces.decode(F.col("ids"))) == F.col("key")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
