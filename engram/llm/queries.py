@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, linededup, pieces, simhash, tokencounts, topk, toxicity
+from engram.llm import decontam, licences, linededup, pieces, simhash, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -35,6 +35,18 @@ def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    sure = F.filter("hits", lambda h: h["confirmed"])
+    families = F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",")
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("hits").alias("n_notices"), F.size(sure).alias("n_confirmed"),
+        F.when(F.size(sure) > 0, families).alias("families"), F.array_max(sure["probability"]).alias("probability"),
+        F.exists("hits", lambda h: h["family"] == licences.UNKNOWN).alias("has_unknown"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -76,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_licence_scan": op6_licence_scan,
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
