@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, licences, linededup, pieces, simhash, tokencounts, topk, toxicity
+from engram.llm import decontam, licences, linededup, pieces, simhash, suffixdedup, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -47,6 +47,12 @@ def op6_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffixdedup.dedup_strings(table(spark, sf, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_licence_scan": op6_licence_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
