@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, licences, linededup, pieces, simhash, suffixdedup, tokencounts, topk, toxicity
+from engram.llm import decontam, licences, linededup, passages, pieces, simhash, suffixdedup, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -30,6 +30,10 @@ def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.passage_classes(table(spark, sf, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,10 +63,9 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     drawn = pieces.encode(table(spark, sf, "documents"))
-    back = F.xxhash64(pieces.decode(F.col("ids"))) == F.col("key")
     return drawn.select(
         "doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        "log_prob", "perturbed", "log_inclusion", back.alias("round_trip"),
+        "log_prob", "perturbed", "log_inclusion", "round_trip",
     )
 
 
@@ -93,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_topk": op3_exact_topk,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_licence_scan": op6_licence_scan,
     "op7_suffix_dedup": op7_suffix_dedup,

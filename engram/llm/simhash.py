@@ -275,14 +275,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, reach: int = RADIUS, le
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose near-duplicate class has a smaller doc_id; equal rows leave one.
+    """``docs``, all columns, with one row of each near-duplicate class: that of the smallest doc_id.
 
-    Rows without a doc_id stay unless their class has one. Of several texts under
-    the class's doc_id, the one with the least key stays.
+    Of several texts under that doc_id the one with the least key stays, of
+    several rows with that text one. Classes without any doc_id count as one.
     """
-    found = near_duplicates(docs).select("doc_id", "key", "component_id").distinct()
-    least = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("key").alias("key"))
-    kept = least.select(F.col("component_id").alias("_id"), F.col("key").alias("_key"))
-    marked = docs.withColumn("_own", row_key())
-    joined = marked.join(kept, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_key")), "left_semi")
-    return joined.drop("_own").dropDuplicates(docs.columns)
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    found = near_duplicates(docs).where("doc_id <=> component_id")
+    least = found.groupBy(known("component_id").alias("_i")).agg(F.min("key").alias("_k"))
+    marked = docs.withColumn("_id", known("doc_id")).withColumn("_key", row_key())
+    kept = marked.join(least, (F.col("_id") == F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
+    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns)
