@@ -129,13 +129,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id count as one document and keep what no smaller one has. A null text
     stays null; a text of repeated chunks alone becomes empty.
     """
-    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_key", row_key())
-    rows = marked.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), "text")
+    # the caller's columns travel in one struct, so their names cannot clash with the ones used here
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
+    marked = docs.select(F.struct(*map(_quoted, docs.columns)).alias("row"), doc, row_key().alias("key"), "text")
+    rows = marked.select("doc", "key", "text")
     held = rows.mapInArrow(lambda b: _occurrences(b, False), "mark binary, doc long, key long")
     gone = held.join(repeated_chunks(rows), "mark").where(F.col("doc") > F.col("least"))
     # a document's own chunks, no more than its lines
-    by_doc = gone.groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("mark").alias("_marks"))
-    joined = marked.join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    cut = joined.withColumn("_c", _cut(F.col("text"), F.col("_marks")))
-    plain = [F.col("_c.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return cut.select(*plain, F.struct("_c.n_removed", "_c.n_lines").alias("_cut"))
+    by_doc = gone.groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("mark").alias("marks"))
+    joined = marked.join(by_doc, (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    cut = joined.select("row", _cut(F.col("text"), F.col("marks")).alias("c"))
+    plain = [(F.col("c.text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
+    return cut.select(*plain, F.struct("c.n_removed", "c.n_lines").alias("_cut"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -278,11 +278,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate class: that of the smallest doc_id.
 
     Of several texts under that doc_id the one with the least key stays, of
-    several rows with that text one. Classes without any doc_id count as one.
+    several rows with that text one. Of classes without any doc_id each text stays once.
     """
     known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
     found = near_duplicates(docs).where("doc_id <=> component_id")
-    least = found.groupBy(known("component_id").alias("_i")).agg(F.min("key").alias("_k"))
-    marked = docs.withColumn("_id", known("doc_id")).withColumn("_key", row_key())
-    kept = marked.join(least, (F.col("_id") == F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    nameless = F.when(F.col("component_id").isNull(), F.col("key"))
+    least = found.groupBy(known("component_id").alias("_i"), nameless.alias("_n")).agg(F.min("key").alias("_k"))
+    # the caller's columns travel in one struct, so their names cannot clash with the ones used here
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    marked = docs.select(F.struct(*quoted).alias("row"), known("doc_id").alias("id"), row_key().alias("key"))
+    kept = marked.join(least, (F.col("id") == F.col("_i")) & (F.col("key") == F.col("_k")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
