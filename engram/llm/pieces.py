@@ -12,7 +12,6 @@ by the row's id, so a repeated task gives the same rows.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +28,8 @@ from engram.llm.common import prefix_hash, range_hash, row_key, units
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 2.0
-_UNIT = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 1 << 20
+_SIEVE_BITS = 20
 
 
 class Vocabulary:
@@ -52,12 +51,31 @@ class Vocabulary:
         self.byte_weight = -sharpness * np.log(max(rank.values()) + 2)
         chars = {i: len(self.bytes_of[i].decode()) for i in plain}
         self.longest = max(chars.values())
-        hashes = np.concatenate([_hash_of(self.bytes_of[i]) for i in plain])
+        # one table for pieces and beginnings of pieces: id (-1: no piece), weight, and whether a longer piece begins so
+        begins = {self.bytes_of[i].decode()[:n].encode() for i in plain for n in range(1, chars[i])}
+        of = {self.bytes_of[i]: i for i in plain}
+        known = sorted(begins | of.keys())
+        hashes = np.concatenate([_hash_of(s) for s in known])
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(plain, np.int32)[order]
-        self.weights = -sharpness * np.log(np.array([rank[i] for i in plain])[order] + 2)
-        starts = {self.bytes_of[i].decode()[:n].encode() for i in plain for n in range(1, chars[i])}
-        self.stems = np.sort(np.concatenate([_hash_of(s) for s in starts]))
+        self.hashes = hashes[order]
+        self.ids = np.array([of.get(s, -1) for s in known], np.int32)[order]
+        self.weights = -sharpness * np.log(np.array([rank.get(of.get(s, -1), 0.0) for s in known])[order] + 2)
+        self.longer = np.array([s in begins for s in known])[order]
+        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
+        self.sieve[(self.hashes >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are in the table, and where."""
+        some = np.flatnonzero(self.sieve[(wanted >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, wanted[some]), len(self.hashes) - 1)
+        there = self.hashes[at] == wanted[some]
+        return some[there], at[there]
+
+
+    def decode(self, ids: np.ndarray) -> bytes | None:
+        """The bytes of a text: those of its pieces without the space put before it; None if an id has none."""
+        parts = list(map(self.bytes_of.get, ids.tolist()))
+        return None if None in parts else b"".join(parts)[1:]
 
 
 def _hash_of(value: bytes) -> np.ndarray:
@@ -69,86 +87,101 @@ def _vocabulary(path: str, sharpness: float) -> Vocabulary:
     return Vocabulary(path, sharpness)
 
 
-def _member(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return table[at] == wanted, at
-
-
 class Lattice:
-    """The lattices of distinct words (no piece crosses a word's edge) with the share of each edge at its node.
+    """The lattices of distinct words; no piece crosses a word's edge.
 
-    ``start`` is the first node of a word; edges are sorted by node, ``first``
-    is a node's first edge. ``ends`` marks the nodes behind a word.
+    The edges of a character, longest piece first, are ``first[c]`` to
+    ``first[c + 1]``; ``piece`` has an edge's id, -1 for the bytes of a
+    character without a piece. ``upto`` are the running shares of the mass
+    behind a character, ``log_rest`` the log share of the other edges beside one;
+    ``target`` is the next character, -1 behind a word.
     """
 
     def __init__(self, words: list[bytes], vocabulary: Vocabulary):
         body = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.array([len(w) for w in words])
-        begin = np.cumsum(sizes) - sizes
+        begin = np.cumsum([0, *map(len, words)])[:-1]
         chars = np.flatnonzero((body & 0xC0) != 0x80)
-        owner = np.searchsorted(begin, chars, side="right") - 1
-        node = np.arange(len(chars)) + owner
-        after = np.append(chars[1:], len(body))
-        self.nodes = len(chars) + len(words)
-        self.start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) + np.arange(len(words)) if len(words) else np.zeros(0, np.int64)
+        self.start = np.searchsorted(chars, begin)
+        sizes = np.diff(np.append(self.start, len(chars)))
+        end = np.repeat(self.start + sizes, sizes)
+        self.raw, self.chars, self.after = body, chars, np.append(chars[1:], len(body))
         running = prefix_hash(body)
-        at, found = np.arange(len(chars)), []
-        known = np.zeros(len(chars), bool)
+        at, found, count = np.arange(len(chars)), [], np.zeros(len(chars), np.int64)
         for n in range(1, vocabulary.longest + 1):
-            fits = at + n - 1 < len(chars)
-            at = at[fits]
-            at = at[owner[at + n - 1] == owner[at]]
+            at = at[at + n <= end[at]]
             if len(at) == 0:
                 break
-            h = range_hash(running, chars[at], after[at + n - 1])
-            hit, where = _member(vocabulary.hashes, h)
-            found.append((node[at[hit]], np.full(hit.sum(), n), vocabulary.ids[where[hit]], vocabulary.weights[where[hit]]))
+            some, where = vocabulary.find(range_hash(running, chars[at], self.after[at + n - 1]))
+            whole = vocabulary.ids[where] >= 0
+            hit, of = at[some[whole]], where[whole]
+            if n == 1:
+                lone = np.ones(len(chars), bool)
+                lone[hit] = False
+                lone = np.flatnonzero(lone)
+                found.append((lone, count[lone], 1, np.int32(-1), (self.after[lone] - chars[lone]) * vocabulary.byte_weight))
+            found.append((hit, count[hit], n, vocabulary.ids[of], vocabulary.weights[of]))
+            count[hit] += 1
             if n == 1:
-                known[at[hit]] = True
-            at = at[_member(vocabulary.stems, h)[0]]
-        lone = np.flatnonzero(~known)
-        found.append((node[lone], np.ones(len(lone), np.int64), np.full(len(lone), -1, np.int32), (after[lone] - chars[lone]) * vocabulary.byte_weight))
-        source, step, self.piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        target = source + step
-        self.char = np.zeros(self.nodes, np.int64)
-        self.char[node] = np.arange(len(chars))
-        self.raw, self.chars, self.after = body, chars, after
-        # nodes by the characters that are left of their word; the mass behind a node needs only nodes with fewer
-        last = np.append(self.start[1:], self.nodes) - 1 if len(words) else np.zeros(0, np.int64)
-        left = np.repeat(last, np.diff(np.append(self.start, self.nodes))) - np.arange(self.nodes)
-        by_left = np.lexsort((source, left[source]))
-        marks = np.searchsorted(left[source][by_left], np.arange(1, left.max(initial=0) + 2))
-        behind = np.zeros(self.nodes)
+                count[lone] += 1
+            at = at[some[vocabulary.longer[where]]]
+        self.first = np.concatenate(([0], np.cumsum(count)))
+        total = int(self.first[-1])
+        self.source, self.target = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        self.piece, weight = np.zeros(total, np.int32), np.zeros(total)
+        for source, rank, n, piece, w in found:
+            e = self.first[source + 1] - 1 - rank
+            self.source[e], self.piece[e], weight[e] = source, piece, w
+            self.target[e] = np.where(source + n == end[source], -1, source + n)
+        # characters by how many are left of their word: the mass behind one needs only those with fewer
+        left = end - np.arange(len(chars))
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        marks = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2)).tolist()
+        # one more place, with nothing behind it, for the end of a word
+        behind = np.zeros(len(chars) + 1)
         for a, b in zip(marks[:-1], marks[1:], strict=True):
-            e = by_left[a:b]
-            if len(e):
-                heads = np.flatnonzero(np.concatenate(([True], source[e[1:]] != source[e[:-1]])))
-                behind[source[e[heads]]] = np.logaddexp.reduceat(weight[e] + behind[target[e]], heads)
-        # edges of a node by falling share, so that most draws end at the first
-        log_share = np.minimum(0.0, weight + behind[target] - behind[source])
-        order = np.lexsort((-log_share, source))
-        self.source, self.target, self.piece, self.log_share = source[order], target[order], self.piece[order], log_share[order]
-        self.first = np.searchsorted(self.source, np.arange(self.nodes + 1))
-        self.ends = self.first[:-1] == self.first[1:]
+            i = order[a:b]
+            if len(i):
+                many = count[i]
+                heads = np.cumsum(many) - many
+                e = np.repeat(self.first[i] - heads, many) + np.arange(many.sum())
+                behind[i] = np.logaddexp.reduceat(weight[e] + behind[self.target[e]], heads)
+        self.log_share = np.minimum(0.0, weight + behind[self.target] - behind[self.source])
         share = np.exp(self.log_share)
         upto = np.cumsum(share)
         self.upto = upto - (upto - share)[self.first[self.source]]
-        self.upto[self.first[1:][~self.ends] - 1] = np.inf
+        self.upto[self.first[1:] - 1] = np.inf
+        # mass of a character's other edges; that beside a main edge is summed, as one minus it would round to nothing
+        main = share > 0.5
+        beside = np.add.reduceat(np.where(main, 0.0, share), self.first[:-1]) if total else share
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(np.where(main, beside[self.source], 1.0 - share))
+
+    def closes(self, edges: np.ndarray) -> np.ndarray:
+        """Whether an edge ends its word."""
+        return self.target[edges] < 0
+
+    def edges_at(self, edge: int) -> np.ndarray:
+        """All edges of the character that an edge starts from."""
+        c = self.source[edge]
+        return np.arange(self.first[c], self.first[c + 1])
 
     def ids(self, edges: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
-        out = self.piece[edges]
-        for k in np.flatnonzero(out < 0)[::-1].tolist():
-            c = self.char[self.source[edges[k]]]
-            out = np.concatenate((out[:k], byte_ids[self.raw[self.chars[c] : self.after[c]]], out[k + 1 :]))
+        pieces = self.piece[edges]
+        lone = np.flatnonzero(pieces < 0)
+        c = self.source[edges[lone]]
+        sizes = np.ones(len(edges), np.int64)
+        sizes[lone] = self.after[c] - self.chars[c]
+        out = np.repeat(pieces, sizes)
+        starts = np.cumsum(sizes) - sizes
+        for at, a, b in zip(starts[lone].tolist(), self.chars[c].tolist(), self.after[c].tolist(), strict=True):
+            out[at : at + b - a] = byte_ids[self.raw[a:b]]
         return out
 
 
 def _walk(lattice: Lattice, nodes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Edges of paths drawn from each node to its word's end, word after word."""
-    place, parts, steps = np.arange(len(nodes)), [], 0
+    """Edges of paths drawn from each character to its word's end, word after word."""
+    place, parts = np.arange(len(nodes)), []
     while len(nodes):
-        inside = ~lattice.ends[nodes]
-        place, nodes = place[inside], nodes[inside]
         edges, drawn = lattice.first[nodes], rng.random(len(nodes))
         later = np.flatnonzero(drawn >= lattice.upto[edges])
         while len(later):
@@ -156,9 +189,10 @@ def _walk(lattice: Lattice, nodes: np.ndarray, rng: np.random.Generator) -> np.n
             later = later[drawn[later] >= lattice.upto[edges[later]]]
         parts.append((place, edges))
         nodes = lattice.target[edges]
-        steps += 1
+        inside = nodes >= 0
+        place, nodes = place[inside], nodes[inside]
     place, edges = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
-    return edges[np.argsort(place, kind="stable")]
+    return edges[np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")]
 
 
 def _below(top: float, where: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -181,9 +215,7 @@ def sample(lattice: Lattice, words: np.ndarray, k: int, seed: int) -> list[tuple
         above = np.concatenate(([0.0], np.cumsum(log_q)))
         found.append((path, float(above[-1]), value))
         open_at = np.arange(fixed, len(path))
-        with np.errstate(divide="ignore"):
-            rest = above[open_at] + np.log(-np.expm1(np.minimum(log_q[open_at], 0)))
-        values = _below(value, rest, rng)
+        values = _below(value, above[open_at] + lattice.log_rest[path[open_at]], rng)
         # no more branches of one path than samples can be opened
         for i in np.argsort(-values, kind="stable")[: k + 1].tolist():
             if values[i] > -np.inf:
@@ -195,22 +227,21 @@ def sample(lattice: Lattice, words: np.ndarray, k: int, seed: int) -> list[tuple
         value = -negative
         if len(found) == k:
             return _scored(found, value)
-        node = lattice.source[path[at]]
-        edges = np.arange(lattice.first[node], lattice.first[node + 1])
+        edges = lattice.edges_at(int(path[at]))
         edges = edges[~np.isin(edges, used)]
         share = np.exp(lattice.log_share[edges])
         total = float(share.sum())
         edge = int(edges[min(len(edges) - 1, np.searchsorted(np.cumsum(share), rng.random() * total, side="right"))])
-        left = total - float(np.exp(lattice.log_share[edge]))
-        if len(edges) > 1 and left > 0:
+        left = float(share[edges != edge].sum())
+        if left > 0:
             where = np.array([float(lattice.log_share[path[:at]].sum()) + np.log(left)])
             again = float(_below(value, where, rng)[0])
             entered += 1
             heapq.heappush(heap, (-again, entered, path, at, (*used, edge)))
-        # the word of a place on the path: one more behind every edge that ends a word
-        word_of = np.cumsum(lattice.ends[lattice.target[path]])
-        done = int(word_of[at - 1]) if at else 0
-        nodes = np.concatenate((lattice.target[edge : edge + 1], lattice.start[words[done + 1 :]]))
+        # words that the path above has ended
+        done = int(lattice.closes(path[:at]).sum())
+        here = lattice.target[edge : edge + 1]
+        nodes = np.concatenate((here[here >= 0], lattice.start[words[done + 1 :]]))
         ready = (value, np.concatenate((path[:at], [edge], _walk(lattice, nodes, rng))), at + 1)
     return _scored(found, -np.inf)
 
@@ -225,25 +256,49 @@ def _scored(found: list[tuple[np.ndarray, float, float]], bound: float) -> list[
     return out
 
 
+def number_words(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of the texts and the numbers of each text's words.
+
+    A text is read with a space before it; a word is a line break, or what
+    follows a run of spaces with the run. An empty text has no words.
+    """
+    full = [b" " + t if t else b"" for t in texts]
+    raw = b"".join(full)
+    body = np.frombuffer(raw, np.uint8)
+    marks = np.cumsum([0, *map(len, full)])
+    begins = np.zeros(len(body) + 1, bool)
+    begins[marks] = True
+    lines = np.flatnonzero(body == 10)
+    begins[lines] = begins[lines + 1] = True
+    space = body == 32
+    begins[1:-1] |= space[1:] & ~space[:-1]
+    starts = np.flatnonzero(begins[:-1])
+    ends = np.append(starts[1:], len(body))
+    _, first, number = np.unique(range_hash(prefix_hash(body), starts, ends), return_index=True, return_inverse=True)
+    distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return distinct, np.split(number, np.searchsorted(starts, marks[1:-1])) if texts else []
+
+
 def _seed(doc: int | None, key: int, seed: int) -> int:
     return xxhash.xxh64_intdigest(f"{seed}/{key if doc is None else doc}")
 
 
-_OUT = "doc_id long, key long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
+_OUT = "doc_id long, key long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 
 
 def _encode(path: str, k: int, sharpness: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, sharpness)
         for unit in units(batches, most=_BATCH_BYTES):
-            number: dict[bytes, int] = {}
-            docs = [[number.setdefault(w, len(number)) for w in _UNIT.findall(b" " + t.encode("utf-8", "surrogatepass"))] if t else [] for t in unit.column("text").to_pylist()]
-            lattice = Lattice(list(number), vocabulary)
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in unit.column("text").to_pylist()]
+            distinct, docs = number_words(raw)
+            lattice = Lattice(distinct, vocabulary)
             rows, held = [], 0
-            for doc, key, words in zip(unit.column("doc_id").to_pylist(), unit.column("key").to_pylist(), docs, strict=True):
-                paths = sample(lattice, np.array(words, np.int64), k, _seed(doc, key, seed)) if words else [(np.zeros(0, np.int64), 0.0, 0.0, 0.0)]
+            for doc, key, text, words in zip(unit.column("doc_id").to_pylist(), unit.column("key").to_pylist(), raw, docs, strict=True):
+                paths = sample(lattice, words, k, _seed(doc, key, seed)) if len(words) else [(np.zeros(0, np.int64), 0.0, 0.0, 0.0)]
                 for n, (edges, log_p, value, score) in enumerate(paths, 1):
-                    rows.append((doc, key, n, lattice.ids(edges, vocabulary.byte_ids), round(log_p, 6), round(value, 6), round(score, 6)))
+                    ids = lattice.ids(edges, vocabulary.byte_ids)
+                    rows.append((doc, key, n, ids, round(log_p, 6), round(value, 6), round(score, 6), vocabulary.decode(ids) == text))
                     held += len(edges)
                 if held > 1 << 20:
                     yield _batch(rows)
@@ -255,16 +310,17 @@ def _encode(path: str, k: int, sharpness: float, seed: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc, key, n, ids, *scores = zip(*rows, strict=True)
+    doc, key, n, ids, *scores, same = zip(*rows, strict=True)
     marks = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate(ids).astype(np.int32)))
     names = [c.split()[0] for c in _OUT.split(", ")]
-    cols = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32()), lists, *(pa.array(s, pa.float64()) for s in scores)]
+    cols = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32()), lists, *(pa.array(s, pa.float64()) for s in scores), pa.array(same)]
     return pa.RecordBatch.from_arrays(cols, names)
 
 
 def encode(docs: DataFrame, model: str = MODEL, k: int = SAMPLES, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
-    """Up to ``k`` distinct segmentations per row: doc_id, key, sample, ids, log_prob, perturbed, log_inclusion.
+    """Up to ``k`` distinct segmentations per row: doc_id, key, sample, ids, log_prob, perturbed, log_inclusion,
+    and round_trip: whether decoding the ids gives the text back.
 
     ``key`` is a hash of the text; samples come in falling order of their
     perturbed log probability; ``log_inclusion`` is the log of the chance to be
@@ -282,13 +338,11 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
     @pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        known = _vocabulary(model, SHARPNESS).bytes_of
+        vocabulary = _vocabulary(model, SHARPNESS)
 
-        def text(own: np.ndarray | None) -> str | None:
-            parts = None if own is None else [known.get(i) for i in own.tolist()]
-            if parts is None or None in parts:
-                return None
-            return b"".join(parts)[1:].decode("utf-8", "replace")
+        def text(own: np.ndarray) -> str | None:
+            raw = vocabulary.decode(own)
+            return None if raw is None else raw.decode("utf-8", "replace")
 
         return column.map(text, na_action="ignore").astype(object)
 
