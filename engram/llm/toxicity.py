@@ -136,7 +136,7 @@ def fit_rows(index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray
     share = [(np.sum(grade <= j) + 0.5) / (len(grade) + 1.0) for j in range(grades - 1)]
     cuts = np.log(np.array(share) / (1 - np.array(share))) + 1e-6 * np.arange(grades - 1)
     if len(grade) == 0 or len(names) == 0 or len(np.unique(grade)) < 2:
-        return Model(cuts)
+        return Model(np.full(grades - 1, np.inf))
     x = _Rows(index, value, len(names))
     share_high = np.clip((grade > 0).mean(), 1 / len(grade), 1 - 1 / len(grade))
     chance = np.sqrt(2 * np.log(max(2, len(names))) / len(grade) * share_high * (1 - share_high))
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, grades: DataFrame, top: int, rows: int = SAMPLE_ROWS) -
 
     Several grades of a document count as their highest; nulls and grades out
     of range are left out; of several texts with one id the one with the least
-    hash counts. Without usable rows the model has no words.
+    hash counts. Without usable rows of at least two grades nothing is known, and
+    every severity is 0.
     """
     known = grades.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, top))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("grade").cast("int").alias("grade"))
