@@ -10,8 +10,14 @@ _NUMBER_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
 def json_entries(json_text: Column) -> Column:
-    """Top-level entries as ``array<struct<key, value: variant>>``."""
-    return F.map_entries(F.from_json(json_text, "map<string,variant>"))
+    """Top-level entries as ``array<struct<key, value: variant>>``; of a repeated key the last one."""
+    every = F.map_entries(F.from_json(json_text, "map<string,variant>"))
+
+    def is_last(entry: Column, place: Column) -> Column:
+        later = F.slice(every, place + 2, F.size(every))
+        return ~F.exists(later, lambda other: other["key"] == entry["key"])
+
+    return F.filter(every, is_last)
 
 
 def _typed_value(value: Column) -> Column:
@@ -35,14 +41,19 @@ def metadata_tags(json_text: Column) -> Column:
 
 
 def filter_tags(json_text: Column) -> Column:
-    """Tags a memory must all hold; a non-scalar entry gives a tag none holds."""
+    """Tags a memory must all hold; a non-scalar entry, or a text that is no object, gives a tag none holds.
+
+    Only null and ``{}`` ask for nothing.
+    """
     tags = F.transform(
         json_entries(json_text),
         lambda e: F.concat(
             e["key"], F.lit(_SEPARATOR), F.coalesce(_typed_value(e["value"]), F.lit("x:"))
         ),
     )
-    return F.coalesce(tags, F.array().cast("array<string>"))
+    nothing = F.array().cast("array<string>")
+    no_object = json_text.isNotNull() & F.json_object_keys(json_text).isNull()
+    return F.when(no_object, F.array(F.lit(_SEPARATOR + "x:"))).otherwise(F.coalesce(tags, nothing))
 
 
 def metadata_contains(metadata: Column, wanted: Column) -> Column:

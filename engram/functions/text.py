@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import math
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,8 +94,58 @@ def utf16_length(text: Column) -> Column:
 
 
 def json_size_bytes(json_text: Column) -> Column:
-    """UTF-8 size of the compact form of a JSON text; null when it does not parse."""
-    return F.octet_length(F.to_json(F.try_parse_json(json_text)))
+    """UTF-8 size of the compact form of a JSON text; null when it does not parse.
+
+    The form keeps the last of repeated keys and writes numbers the shortest way:
+    1e2 as 100, 1.50 as 1.5, exponents from 1e21 on and below 1e-6.
+    """
+    return F.arrow_udf(_compact_sizes, "int")(json_text)
+
+
+def _shortest_number(text: str) -> str:
+    value = float(text)
+    if value == 0:
+        return "0"
+    digits, _, exponent = f"{value!r}".partition("e")
+    if math.isinf(value):
+        return "null"
+    if not exponent:
+        return digits.removesuffix(".0")
+    if 1e-6 <= abs(value) < 1e21:
+        return f"{Decimal(repr(value)):f}".removesuffix(".0")
+    return f"{digits.removesuffix('.0')}e{int(exponent):+d}"
+
+
+class _Number:
+    def __init__(self, text: str):
+        self.text = _shortest_number(text)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _compact_sizes(texts: pa.Array) -> pa.Array:
+    sizes = []
+    for text in texts.to_pylist():
+        try:
+            parsed = None if text is None else json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+        except (ValueError, RecursionError):
+            sizes.append(None)
+            continue
+        compact = _dump(parsed)
+        sizes.append(None if text is None else len(compact.encode("utf-8", "surrogatepass")))
+    return pa.array(sizes, pa.int32())
+
+
+def _dump(value) -> str:
+    if isinstance(value, _Number):
+        return value.text
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_dump, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
 
 
 def is_uuid(value: Column, strict: bool = False) -> Column:

@@ -20,9 +20,6 @@ SUBSCRIPTION_CHANGED = ("customer.subscription.created", "customer.subscription.
 SUBSCRIPTION_DELETED = "customer.subscription.deleted"
 CUSTOMER_CREATED = "customer.created"
 
-MAX_PRICES = 100_000
-
-
 @dataclass
 class BillingResult:
     users: DataFrame
@@ -31,15 +28,9 @@ class BillingResult:
     effects: DataFrame
 
 
-def bounded_prices(prices: DataFrame) -> DataFrame:
-    """The price map, marked for broadcast when it is as small as a price list should be."""
-    small = prices.limit(MAX_PRICES + 1).count() <= MAX_PRICES
-    return F.broadcast(prices) if small else prices
-
-
 def lookup_prices(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``new_tier`` from ``price_id``; unmapped or missing prices give null."""
-    named = bounded_prices(prices).select("price_id", blank_to_null(F.col("tier")).alias("new_tier"))
+    named = prices.select("price_id", blank_to_null(F.col("tier")).alias("new_tier"))
     return events.join(named, "price_id", "left")
 
 
@@ -58,7 +49,8 @@ def fold(
     that cannot be applied (malformed user id in a binding, price mapped to no real
     tier) are rejects and stay unprocessed; all others are processed.
     """
-    fresh = insert_once(inbox, events)
+    # effects and the processed table must agree on which delivery counts
+    fresh = checkpoint(insert_once(inbox, events))
     fields = billing_fields(F.col("payload"))
     # parsed once into a narrow table; ordering reads it several times
     parsed = checkpoint(fresh.select("id", "event_type", "received_at", *[c.alias(n) for n, c in fields.items()]))

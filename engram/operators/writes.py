@@ -192,9 +192,10 @@ UPDATABLE = ["content", "metadata", "namespace", "embedding", "content_hash"]
 
 
 def update_fields(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Generic partial update, one request per memory; null = not given.
+    """Generic partial update; null = not given.
 
-    Outcomes name the updated fields; a request with none is ok without a lookup.
+    Several requests for one memory apply in order of seq: the last given value
+    of each column stays. Outcomes name the updated fields; a request with none is ok without a lookup.
     """
     given = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in UPDATABLE]))
     owner = memories.select("id", "user_id", F.lit(True).alias("owned"))
@@ -204,9 +205,9 @@ def update_fields(memories: DataFrame, requests: DataFrame, as_of) -> tuple[Data
     outcomes = asked.select(
         "seq", "id", F.when(F.col("error_code").isNull(), F.col("updated_fields")).alias("updated_fields"), "error_code"
     )
-    changes = asked.where(F.col("error_code").isNull() & (F.size("updated_fields") > 0)).select(
-        "id", *[F.col(c).alias("new_" + c) for c in UPDATABLE], F.lit(as_of).cast("timestamp").alias("new_updated_at")
-    )
+    last_given = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias("new_" + c) for c in UPDATABLE]
+    changes = asked.where(F.col("error_code").isNull() & (F.size("updated_fields") > 0)).groupBy("id").agg(*last_given)
+    changes = changes.withColumn("new_updated_at", F.lit(as_of).cast("timestamp"))
     return _apply(memories, changes), outcomes
 
 
@@ -280,5 +281,8 @@ def insert_once(table: DataFrame, arrivals: DataFrame, key: str = "id", order: s
     """
     held = table.select(key).join(arrivals.select(key), key, "left_semi")
     fresh = arrivals.join(held, key, "left_anti")
-    first = fresh.groupBy(key).agg(F.min_by(F.struct(*arrivals.columns), order).alias("row"))
+    # deliveries of the same moment are told apart by their content, so a re-run picks the same one
+    first = fresh.groupBy(key).agg(
+        F.min_by(F.struct(*arrivals.columns), F.struct(order, F.xxhash64(*arrivals.columns))).alias("row")
+    )
     return first.select("row.*")

@@ -125,7 +125,8 @@ ORACLE_SQL["recall_metadata_filter"] = (
     + f" SELECT request_id, rank, id, {_SIM} FROM best"
 )
 ORACLE_SQL["metadata_matches"] = (
-    _with(_MEM) + " SELECT id, label = 1 AND vec_id % 2 = 1 AS label_1_odd, FALSE AS label_text FROM mem"
+    _with(_MEM) + " SELECT id, label = 1 AND vec_id % 2 = 1 AS label_1_odd, FALSE AS label_text, FALSE AS broken, FALSE AS listed,"
+    + " FALSE AS first_of_repeated, label = 1 AS last_of_repeated, TRUE AS no_filter FROM mem"
 )
 _TAG = (
     "'<memory id=\"' || id || '\" namespace=\"' || namespace || '\" created=\"' || "
@@ -169,19 +170,28 @@ ORACLE_SQL["dedupe_documents"] = f"""
 WITH t AS (SELECT doc_id, sha256({_normal('text')}) AS content_hash FROM documents)
 SELECT content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM t GROUP BY content_hash"""
 ORACLE_SQL["mock_embedding"] = f"""
-WITH t AS (SELECT doc_id, trim(regexp_replace(text, '{_WS}', ' ', 'g'), ' ') AS text FROM documents),
+WITH t AS (SELECT doc_id, {_normal('text')} AS text FROM documents),
 codes AS (
   SELECT doc_id, list_reduce(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CAST(unicode(c) AS BIGINT)),
     lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) AS h FROM t),
 hashed AS (SELECT doc_id, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS h FROM codes)
 SELECT doc_id, round(CAST(CAST(sin(h) * 0.5 + 0.5 AS FLOAT) AS DOUBLE), 4) AS v0,
-  round(CAST(CAST(sin(h + 15) * 0.5 + 0.5 AS FLOAT) AS DOUBLE), 4) AS v15 FROM hashed"""
+  round(CAST(CAST(sin(h + 15) * 0.5 + 0.5 AS FLOAT) AS DOUBLE), 4) AS v15,
+  round(list_sum(list_transform(range(1536), lambda i: CAST(CAST(sin(h + i) * 0.5 + 0.5 AS FLOAT) AS DOUBLE))), 3) AS total,
+  round(list_sum(list_transform(range(1536), lambda i: CAST(CAST(sin(h + i) * 0.5 + 0.5 AS FLOAT) AS DOUBLE) * (i + 1)))
+    / 1536, 3) AS weighted FROM hashed"""
 ORACLE_SQL["vector_text"] = "SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, 0.0::DOUBLE AS distance FROM embeddings"
 ORACLE_SQL["escape_text"] = """
 SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_hash FROM pages"""
 ORACLE_SQL["redact_log"] = """
 SELECT conv_id, turn, '[redacted:' || left(sha256(text), 8) || ']' AS content,
   '[redacted:' || left(sha256(text), 8) || ']' AS query, role FROM conversations"""
+ORACLE_SQL["redact_map"] = """
+SELECT conv_id, turn, '[redacted:' || left(sha256(text), 8) || ']' AS content, role, '[redacted]' AS embedding
+FROM conversations"""
+ORACLE_SQL["metadata_size"] = """
+SELECT doc_id, CAST(octet_length(encode('{"n":' || n_chars || ',"e":100,"t":[1.5,"1.0, "],"u":"é"}')) AS BIGINT) AS size
+FROM documents"""
 ORACLE_SQL["json_results"] = (
     _with(_MEM)
     + " SELECT '{\"id\":\"' || id || '\",\"namespace\":\"' || namespace || '\",\"created_at\":\"' || "
@@ -275,6 +285,14 @@ ORACLE_SQL["update_fields"] = (
 SELECT seq, id, CASE WHEN f = '' OR seq % 5 <> 0 THEN f END AS updated_fields,
   CASE WHEN f <> '' AND seq % 5 = 0 THEN 'not_found' END AS error_code FROM given"""
 )
+ORACLE_SQL["update_fields_rows"] = (
+    _with(_MEM)
+    + """ SELECT id, CASE WHEN vec_id % 4 = 0 THEN 'newer text' WHEN vec_id % 2 = 0 AND vec_id % 5 <> 0 THEN 'new text'
+  ELSE content END AS content,
+  CASE WHEN vec_id % 6 = 0 THEN 'last' WHEN vec_id % 7 = 0 AND vec_id % 5 <> 0 THEN 'moved' ELSE namespace END AS namespace,
+  CASE WHEN vec_id % 3 = 0 AND vec_id % 5 <> 0 THEN '{}' ELSE '{"label":' || label || ',"even":'
+    || CASE WHEN vec_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"bucket":"b' || vec_id % 3 || '"}' END AS metadata FROM mem"""
+)
 _FORGET = (
     _with(_MEM)
     + """, asked AS (
@@ -409,13 +427,13 @@ ORACLE_SQL["usage_build"] = (
 FROM use u JOIN fold f ON f.seq = u.event_id"""
 )
 ORACLE_SQL["memory_counts"] = (
-    _with(_REQ, _STORED) + " SELECT user_id, count(*) AS n_memories FROM stored GROUP BY user_id"
+    _with(_REQ) + " SELECT user_id, count(*) AS n_memories FROM req GROUP BY user_id"
 )
 _TIER = "coalesce(nullif(k.tier, ''), nullif(k.user_tier, ''), 'free')"
 ORACLE_SQL["quota_headroom"] = (
-    _with(_REQ, _STORED, _USERS, _KEYS)
+    _with(_REQ, _USERS, _KEYS)
     + f""", free AS (SELECT DISTINCT user_id FROM ks k WHERE revoked_at IS NULL AND {_TIER} = 'free'),
-n AS (SELECT user_id, count(*) AS n FROM stored GROUP BY user_id)
+n AS (SELECT user_id, count(*) AS n FROM req GROUP BY user_id)
 SELECT user_id, coalesce(n.n, 0) AS n_memories, greatest(100 - coalesce(n.n, 0), 0) AS headroom
 FROM free LEFT JOIN n USING (user_id)"""
 )
@@ -574,11 +592,13 @@ FROM (SELECT doc_id, doc_id % 2 = 1 OR text = '' AS no_query, doc_id % 60 < 1 OR
 ORACLE_SQL["fk_audit"] = (
     _with(_MEM, _USERS, _KEYS, _USE)
     + """ SELECT 'memories.user_id' AS relation, user_id AS key, count(*) AS n FROM mem
-WHERE user_id NOT IN (SELECT id FROM people) GROUP BY user_id
+WHERE user_id NOT IN (SELECT id FROM people WHERE CAST(id AS BIGINT) % 3 <> 0) GROUP BY user_id
 UNION ALL SELECT 'usage_events.user_id', user_id, count(*) FROM use
-WHERE user_id NOT IN (SELECT id FROM people) GROUP BY user_id
+WHERE user_id NOT IN (SELECT id FROM people WHERE CAST(id AS BIGINT) % 3 <> 0) GROUP BY user_id
 UNION ALL SELECT 'usage_events.api_key_id', api_key_id, count(*) FROM use
-WHERE api_key_id NOT IN (SELECT id FROM ks) GROUP BY api_key_id"""
+WHERE api_key_id NOT IN (SELECT id FROM ks WHERE CAST(id AS BIGINT) % 4 <> 0) GROUP BY api_key_id
+UNION ALL SELECT 'api_keys.user_id', user_id, count(*) FROM ks WHERE CAST(id AS BIGINT) % 4 <> 0
+  AND user_id NOT IN (SELECT id FROM people WHERE CAST(id AS BIGINT) % 3 <> 0) GROUP BY user_id"""
 )
 ORACLE_SQL["constraint_audit"] = (
     _with(_USERS, _KEYS, _BILL, _USE)
@@ -590,7 +610,7 @@ UNION ALL SELECT 'stripe_events.id', id, 2 FROM bill WHERE event_type = 'custome
 )
 ORACLE_SQL["tenant_leak_audit"] = (
     _with(_MEM, _Q, _pairs("q", _SAME, "0.0", "5"))
-    + " SELECT count(*) FILTER (b.user_id <> q.quser) AS n_leaked FROM best b JOIN q USING (request_id)"
+    + " SELECT count(*) FILTER (request_id % 4 = 0) AS n_leaked FROM best"
 )
 ORACLE_SQL["result_audit"] = (
     _with(_MEM, _Q, _pairs("q", _SAME, "-1", "5"))

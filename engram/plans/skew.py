@@ -5,23 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# rows of one key that one task takes
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 256
-SALTS = 64
 
 
 def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int | None = None) -> DataFrame:
-    """The keys with at least ``hot_rows`` (``HOT_ROWS``) rows, largest first, at most ``MAX_HOT_KEYS``.
-
-    The limit bounds what is broadcast. It does not change results: a key that
-    is not listed only loses the salting.
-    """
-    return (
-        counts.where(F.col(count_col) >= (HOT_ROWS if hot_rows is None else hot_rows))
-        .orderBy(F.col(count_col).desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys)
-    )
+    """The keys with at least ``hot_rows`` (``HOT_ROWS``) rows and the number of ``splits`` each needs."""
+    most = HOT_ROWS if hot_rows is None else hot_rows
+    summed = counts.groupBy(*keys).agg(F.sum(count_col).alias("_n"))
+    return summed.where(F.col("_n") >= most).select(*keys, (F.ceil(F.col("_n") / most) + 1).cast("int").alias("splits"))
 
 
 def salted_lookup(
@@ -31,28 +23,18 @@ def salted_lookup(
     hot: DataFrame,
     spread: list[str],
     how: str = "left",
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` to ``facts`` (one row per key), with the hot keys salted.
 
-    ``hot`` lists hot values of some or all of the keys (see ``hot_keys``).
-    Their rows are spread over ``salts`` partitions by a hash of the ``spread``
-    columns (a hash, not a random number, so a re-run task places them alike);
-    the one fact row of such a key is repeated per salt.
+    ``hot`` lists hot values of some or all of the keys (see ``hot_keys``), as
+    many as there are. The rows of such a key are spread over its ``splits`` by a
+    hash of the ``spread`` columns (a hash, not a random number, so a re-run task
+    places them alike); the one fact row of the key is repeated per split.
     """
-    hot_cols = hot.columns
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    left = (
-        rows.join(marked, hot_cols, "left")
-        .withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = (
-        facts.join(marked, hot_cols, "left")
-        .withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+    hot_cols = [c for c in hot.columns if c != "splits"]
+    splits = F.coalesce(F.col("splits"), F.lit(1))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), splits).cast("int")
+    left = rows.join(hot, hot_cols, "left").withColumn("_salt", salt).drop("splits")
+    every = F.explode(F.sequence(F.lit(0), splits - 1))
+    right = facts.join(hot, hot_cols, "left").withColumn("_salt", every).drop("splits")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -84,7 +84,17 @@ def metadata_matches(spark: SparkSession, sf: str) -> DataFrame:
     rows = td.vector_memories(spark, sf)
     label_1 = metadata_contains(F.col("metadata"), F.lit('{"label":1.0,"even":false}'))
     label_text = metadata_contains(F.col("metadata"), F.lit('{"label":"1"}'))
-    return rows.select("id", label_1.alias("label_1_odd"), label_text.alias("label_text"))
+    # filters that are no object match nothing; of a repeated key the last value counts
+    twice = F.concat(F.lit('{"label":-1,'), F.substring("metadata", 2, 1_000_000))
+    more = {
+        "broken": metadata_contains(F.col("metadata"), F.lit('{"label":')),
+        "listed": metadata_contains(F.col("metadata"), F.lit("[1]")),
+        "first_of_repeated": metadata_contains(twice, F.lit('{"label":-1}')),
+        "last_of_repeated": metadata_contains(twice, F.lit('{"label":1}')),
+        "no_filter": metadata_contains(F.col("metadata"), F.lit("{}")),
+    }
+    more = [c.alias(n) for n, c in more.items()]
+    return rows.select("id", label_1.alias("label_1_odd"), label_text.alias("label_text"), *more)
 
 
 def recall_formatted(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,12 +150,17 @@ def dedupe_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mock_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = td.text_requests(spark, sf)
-    vector = vec.mock_embedding(tx.collapse_whitespace(F.col("content")), TEXT_DIM)
-    embedded = rows.select(F.col("seq").alias("doc_id"), vector.alias("v"))
-    checked = embedded.where(vec.has_dimension(F.col("v"), TEXT_DIM))
+    """All 1,536 numbers of every text's vector, as two values and two sums."""
+    rows = tx.with_normalized(td.text_requests(spark, sf), "content", "content")
+    dim = vec.EMBEDDING_DIM
+    embedded = rows.select(F.col("seq").alias("doc_id"), vec.mock_embedding(F.col("content"), dim).alias("v"))
+    checked = embedded.where(vec.has_dimension(F.col("v"), dim))
+    place = F.sequence(F.lit(1), F.lit(dim))
+    plain = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    weighted = F.aggregate(F.zip_with("v", place, lambda x, i: x.cast("double") * i), F.lit(0.0), lambda s, x: s + x)
     return checked.select(
-        "doc_id", F.round(F.col("v")[0].cast("double"), 4).alias("v0"), F.round(F.col("v")[15].cast("double"), 4).alias("v15")
+        "doc_id", F.round(F.col("v")[0].cast("double"), 4).alias("v0"), F.round(F.col("v")[15].cast("double"), 4).alias("v15"),
+        F.round(plain, 3).alias("total"), F.round(weighted / dim, 3).alias("weighted"),
     )
 
 
@@ -166,6 +181,24 @@ def redact_log(spark: SparkSession, sf: str) -> DataFrame:
     return clean.select("conv_id", "turn", "content", F.col("meta.query").alias("query"), F.col("meta.role").alias("role"))
 
 
+def redact_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Log rows whose fields are map entries."""
+    named = F.create_map(F.lit("content"), F.col("text"), F.lit("role"), F.col("role"), F.lit("embedding"), F.lit("0.5"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.struct(named.alias("fields")).alias("entry"))
+    fields = redact_df(rows)
+    return fields.select(
+        "conv_id", "turn", F.col("entry.fields")["content"].alias("content"), F.col("entry.fields")["role"].alias("role"),
+        F.col("entry.fields")["embedding"].alias("embedding"),
+    )
+
+
+def metadata_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of metadata with repeated keys and numbers in long forms."""
+    number = F.col("n_chars").cast("string")
+    metadata = F.concat(F.lit('{"n": 7, "n" : '), number, F.lit('.0, "e":1e2, "t":[1.50, "1.0, "], "u":"\\u00e9"}'))
+    return _docs(spark, sf).select("doc_id", tx.json_size_bytes(metadata).cast("bigint").alias("size"))
+
+
 def json_results(spark: SparkSession, sf: str) -> DataFrame:
     rows = td.vector_memories(spark, sf).select("id", "namespace", "created_at", F.array("updated_at").alias("times"))
     return json_rows(rows)
@@ -261,6 +294,25 @@ def update_fields(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes.select("seq", "id", F.array_join("updated_fields", ",").alias("updated_fields"), "error_code")
 
 
+def update_fields_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The new table when most memories are updated twice in a batch."""
+    memories = td.vector_memories(spark, sf)
+    number = F.col("id").cast("bigint")
+    given = lambda cond, value: F.when(cond, F.lit(value))
+    base = [F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("content_hash")]
+    first = memories.select(
+        number.alias("seq"), "id", F.when(number % 5 == 0, F.lit("nobody")).otherwise(F.col("user_id")).alias("user_id"),
+        given(number % 2 == 0, "new text").alias("content"), given(number % 3 == 0, "{}").alias("metadata"),
+        given(number % 7 == 0, "moved").alias("namespace"), *base,
+    )
+    second = memories.select(
+        (number + 10_000_000).alias("seq"), "id", "user_id", given(number % 4 == 0, "newer text").alias("content"),
+        F.lit(None).cast("string").alias("metadata"), given(number % 6 == 0, "last").alias("namespace"), *base,
+    )
+    table = writes.update_fields(memories, second.unionByName(first), AS_OF)[0]
+    return table.select("id", "content", "namespace", "metadata")
+
+
 def _forget_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Each memory is asked for twice; every third number by a wrong user."""
     number = F.col("id").cast("bigint")
@@ -386,13 +438,18 @@ def usage_build(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", "user_id", "tool_name", _big("tokens_consumed"), _big("latency_ms"), "success", "error_code")
 
 
+def _all_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a memory; only what counting needs."""
+    return td.text_requests(spark, sf).select(F.col("seq").cast("string").alias("id"), "user_id", "namespace")
+
+
 def memory_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.memory_counts(_stored(spark, sf))
+    return usage.memory_counts(_all_stored(spark, sf))
 
 
 def quota_headroom(spark: SparkSession, sf: str) -> DataFrame:
     tiers = keys.key_tiers(td.api_keys(spark, sf), td.users(spark, sf))
-    return usage.quota_headroom(_stored(spark, sf), tiers)
+    return usage.quota_headroom(_all_stored(spark, sf), tiers)
 
 
 def rate_limit_replay(spark: SparkSession, sf: str) -> DataFrame:
@@ -599,9 +656,10 @@ def validate_forget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fk_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.fk_audit(
-        td.users(spark, sf), td.api_keys(spark, sf), td.vector_memories(spark, sf), td.usage_events(spark, sf)
-    )
+    """Every third user and every fourth key are missing."""
+    people = td.users(spark, sf).where(F.col("id").cast("bigint") % 3 != 0)
+    known = td.api_keys(spark, sf).where(F.col("id").cast("bigint") % 4 != 0)
+    return quality.fk_audit(people, known, td.vector_memories(spark, sf), td.usage_events(spark, sf))
 
 
 def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -614,7 +672,9 @@ def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def tenant_leak_audit(spark: SparkSession, sf: str) -> DataFrame:
     memories, requests = td.vector_memories(spark, sf), td.vector_requests(spark, sf)
-    leaked = quality.leaked_rows(recall.recall(memories, requests, DIM), requests, memories)
+    # the results of every fourth request are handed to another tenant
+    other = F.when(F.col("request_id") % 4 == 0, F.lit("intruder")).otherwise(F.col("user_id"))
+    leaked = quality.leaked_rows(recall.recall(memories, requests, DIM), requests.withColumn("user_id", other), memories)
     return leaked.groupBy().agg(F.count("*").alias("n_leaked"))
 
 
@@ -692,8 +752,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         recall_batch, recall_batch_blocks, recall_namespace_all, nearest_k, recall_metadata_filter, metadata_matches,
         recall_formatted, ann_recall, list_page, list_keyset, normalize_hash, dedupe_documents, mock_embedding,
-        vector_text, escape_text, redact_log, json_results, remember_quota, remember_rows, find_by_hash,
-        update_content, update_metadata, update_fields, forget_by_id, forget_survivors, forget_preview,
+        vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
+        update_content, update_metadata, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
         tenant_rows,
         usage_summary, usage_rollup, usage_latency, usage_errors, usage_timeline, usage_by_key, usage_windows,

@@ -164,3 +164,26 @@ def test_tiers(spark):
     ranks = df.select(tier_rank(F.col("k"))).collect()
     assert [r[0] for r in ranks] == [2, 0, 0, 0]
     assert unicodedata.normalize("NFC", NFD) == "é"
+
+
+def test_metadata_filters_that_are_no_object_match_nothing(spark):
+    rows = [('{"a":1,"a":2}', f) for f in ('{"a":1}', '{"a":2}', '{"a":', "[1]", "1", '"x"', "", "{}", None)]
+    df = spark.createDataFrame(rows, "m string, f string")
+    got = [r[0] for r in df.select(md.metadata_contains(df["m"], df["f"])).collect()]
+    assert got == [False, True, False, False, False, False, False, True, True]
+
+
+def test_json_sizes(spark):
+    cases = {
+        '{"a":1e2}': 9, '{"a":1,"a":22}': 8, '{ "a" : 1.50 }': 9, '{"a":1e21}': 11, '{"a":1e-7}': 10, '{"a":0.000001}': 14,
+        '{"a":123456789012345680000}': 27, '{"a":-0.0}': 7, '["1.0, é"]': 11, "{": None, "nan": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(tx.json_size_bytes(df["t"])).collect()] == list(cases.values())
+
+
+def test_redact_maps(spark):
+    df = spark.sql("select map('content', 'x', 'role', 'y', 'embedding', 'z') m, map('s', named_struct('query', 'q')) n, map('embedding', 1) d")
+    row = redact_df(df).first()
+    assert row.m["content"].startswith("[redacted:") and row.m["role"] == "y" and row.m["embedding"] == "[redacted]"
+    assert row.n["s"]["query"].startswith("[redacted:") and row.d["embedding"] is None

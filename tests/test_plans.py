@@ -18,7 +18,7 @@ def test_salted_lookup_keeps_all_rows(spark):
     facts = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(5)], "key string, v int")
     hot = hot_keys(rows.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n", hot_rows=100)
     assert [r.key for r in hot.collect()] == ["hot"]
-    got = salted_lookup(rows, facts, ["key"], hot, ["id"], salts=4).orderBy("id").collect()
+    got = salted_lookup(rows, facts, ["key"], hot, ["id"]).orderBy("id").collect()
     want = rows.join(facts, "key", "left").orderBy("id").collect()
     assert [(r.id, r.v) for r in got] == [(r.id, r.v) for r in want]
 
@@ -200,3 +200,12 @@ def test_percentiles(spark):
         assert r.p50_ms == pytest.approx(np.percentile(own, 50)) and r.p95_ms == pytest.approx(np.percentile(own, 95))
         assert (r.calls, r.max_ms) == (len(own), max(own))
     assert usage.latency_sketch(df).count() == 3
+
+
+def test_any_number_of_hot_keys(spark):
+    rows = spark.range(9000).select(F.col("id"), (F.col("id") % 300).alias("key"))
+    facts = spark.range(300).select(F.col("id").alias("key"), (F.col("id") * 2).alias("fact"))
+    hot = hot_keys(rows.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n", hot_rows=10)
+    assert hot.count() == 300 and {r.splits for r in hot.collect()} == {4}
+    got = salted_lookup(rows, facts, ["key"], hot, ["id"])
+    assert got.count() == 9000 and got.where("fact <> key * 2 or fact is null").count() == 0

@@ -271,3 +271,11 @@ def test_usage_write_failure_is_reported(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     assert not append_usage(events, str(tmp_path / "file" / "inside"), problems.append)
     assert len(problems) == 1
+
+
+def test_insert_once_ties_do_not_depend_on_the_order(spark):
+    rows = [(i % 5, "2024-01-01", f"payload {i}") for i in range(50)]
+    schema = "id int, received_at string, payload string"
+    none = spark.createDataFrame([], schema)
+    once = lambda part: sorted(map(tuple, writes.insert_once(none, spark.createDataFrame(part, schema).repartition(4)).collect()))
+    assert once(rows) == once(rows[::-1]) and len(once(rows)) == 5
