@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.plans.skew import hot_keys, salted_lookup
+from engram.session import checkpoint
 
 MAX_BROADCAST_REQUESTS = 16_384
+# room of one winner in memory
+WINNER_BYTES = 256
 MAX_BROADCAST_BYTES = 128 << 20
 MEMORY_BLOCK_ROWS = 10_000
 REQUEST_BLOCK_ROWS = 2_000
@@ -207,7 +210,8 @@ def _bounded(requests: DataFrame, dim: int) -> pa.Table | None:
     """The requests as one table when they fit the broadcast bound, else None."""
     most = min(MAX_BROADCAST_REQUESTS, MAX_BROADCAST_BYTES // (4 * dim))
     table = requests.limit(most + 1).toArrow()
-    return table if table.num_rows <= most else None
+    # the filter tags have no bound of their own, so the real bytes count
+    return table if table.num_rows <= most and table.nbytes <= MAX_BROADCAST_BYTES else None
 
 
 def _broadcast_plan(memories: DataFrame, requests: DataFrame, table: pa.Table, dim: int) -> DataFrame:
@@ -249,12 +253,15 @@ def _block_plan(memories: DataFrame, requests: DataFrame, dim: int, memory_rows:
     def blocks(n: str, size: int):
         return F.ceil(F.col(n) / size).cast("int")
 
-    grid = n_requests.join(n_memories, keys).select(
-        *keys,
-        "n_requests",
-        "n_memories",
-        blocks("n_memories", memory_rows).alias("m_blocks"),
-        blocks("n_requests", request_rows).alias("q_blocks"),
+    # one row per asked scope, stored: it is used six times
+    grid = checkpoint(
+        n_requests.join(n_memories, keys).select(
+            *keys,
+            "n_requests",
+            "n_memories",
+            blocks("n_memories", memory_rows).alias("m_blocks"),
+            blocks("n_requests", request_rows).alias("q_blocks"),
+        )
     )
 
     def placed(rows: DataFrame, count_col: str, own: str, repeat: str, key: str) -> DataFrame:
@@ -299,7 +306,8 @@ def top_k(
     ``memories`` needs id, user_id, namespace, created_at, embedding; ``requests``
     the ``REQUEST_COLUMNS``, a null namespace meaning all of the user's. Both may
     carry ``tags`` (arrays): a memory must hold all tags of the request.
-    Ties rank by created_at, then id. ``strategy`` forces "broadcast" or "blocks".
+    Ties rank by created_at, then id. ``strategy`` "blocks" takes the block plan
+    also for few requests; both plans give the same rows.
     """
     with_tags = "tags" in requests.columns
     memory_cols = ["id", "user_id", "namespace", "created_at", "embedding"]
@@ -313,13 +321,12 @@ def top_k(
     requests = requests.where((F.size("query_embedding") == dim) & (F.col("k") > 0))
     memories = memories.select(*memory_cols, *(["tags"] if with_tags else []))
     table = None if strategy == "blocks" else _bounded(requests, dim)
-    if strategy == "broadcast" and table is None:
-        raise ValueError("too many requests to broadcast")
-    if table is not None:
-        winners = _broadcast_plan(memories, requests, table, dim)
-    else:
-        winners = _block_plan(memories, requests, dim, memory_block_rows, request_block_rows)
-    return _rank(winners)
+    if table is None:
+        return _rank(_block_plan(memories, requests, dim, memory_block_rows, request_block_rows))
+    ranked = _rank(_broadcast_plan(memories, requests, table, dim))
+    # at most k rows per request: within the bound they go to the memories, which then need no shuffle
+    rows = pc.sum(table["k"]).as_py() or 0
+    return ranked.hint("broadcast") if rows * WINNER_BYTES <= MAX_BROADCAST_BYTES else ranked
 
 
 __all__ = ["top_k", "REQUEST_COLUMNS"]
