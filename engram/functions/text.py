@@ -7,7 +7,6 @@ import math
 import unicodedata
 from decimal import Decimal
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 # The characters JavaScript counts as white space, ASCII and other.
 ASCII_WHITESPACE = r"\t\n\x0B\f\r "
 OTHER_WHITESPACE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# The accepted shapes of ids and addresses.
 UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 STRICT_UUID_PATTERN = (
     r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
@@ -24,9 +24,10 @@ STRICT_UUID_PATTERN = (
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    # (Arrow's own utf8_normalize leaves combining marks apart)
+    return pa.array([s if s is None else unicodedata.normalize("NFC", s) for s in text.to_pylist()], text.type)
 
 
 def _has_non_ascii(text: Column) -> Column:
@@ -46,9 +47,9 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def _compose(flat: Column) -> Column:
-    """NFC form. Spark has no such function, so Python sees the texts that hold a
-    non-ASCII character; for the others the Arrow column is null."""
-    return F.coalesce(_nfc(F.when(_has_non_ascii(flat), flat)), flat)
+    """NFC form. Spark has no such function; the characters below U+0300 are composed
+    already, so only texts with a later one go to Python. For the others its column is null."""
+    return F.coalesce(_nfc(F.when(_has_non_ascii(flat) & flat.rlike(r"[^\x{0}-\x{2ff}]"), flat)), flat)
 
 
 def normalize_text(text: Column) -> Column:

@@ -68,14 +68,16 @@ def remember(
         F.count("*").alias("n"),
     )
     hot = hot_keys(per_key, _KEY, "n")
-    per_key = per_key.join(earliest_by_hash(memories), _KEY, "left")
+    # of the table only the keys and users of the batch are grouped
+    per_key = per_key.join(find_by_hash(memories, per_key), _KEY, "left")
 
     # Only the first 100 new keys of a user can fall inside the quota, so the
     # rank is cut to 100 rows per user before its shuffle.
     new_keys = per_key.where(F.col("existing_id").isNull()).select(*_KEY, "first_seq")
     by_seq = Window.partitionBy("user_id").orderBy("first_seq")
     ranked = new_keys.withColumn("rank", F.row_number().over(by_seq)).where(F.col("rank") <= FREE_MEMORY_QUOTA)
-    stored = memories.groupBy("user_id").agg(F.count("*").alias("n_stored"))
+    asking = keyed.select("user_id").distinct()
+    stored = memories.join(asking, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n_stored"))
     room = F.lit(FREE_MEMORY_QUOTA) - F.coalesce("n_stored", F.lit(0))
     within = ranked.join(stored, "user_id", "left").where(F.col("rank") <= room)
     within = within.select(*_KEY, F.lit(True).alias("within"))
@@ -142,7 +144,8 @@ def update(
 
     targets = asked.where(owned & F.col("content_hash").isNotNull()).select(*_KEY, "seq", "id")
     # a holder other than this memory exists when the least or the greatest holder id differs from it
-    holders = memories.groupBy(_KEY).agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
+    named = memories.join(targets.select(_KEY).distinct(), _KEY, "left_semi")
+    holders = named.groupBy(_KEY).agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
     free_targets = targets.join(holders, _KEY, "left").where(
         F.coalesce((F.col("least_id") == F.col("id")) & (F.col("most_id") == F.col("id")), F.lit(True))
     )
