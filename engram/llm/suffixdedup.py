@@ -28,50 +28,82 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from engram.llm.common import group_starts, mix, offsets_of, prefix_hash, range_hash, row_key, units
+from engram.llm.common import group_starts, mix, offsets_of, prefix_hash, range_hash, row_key, stored, units
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 # text whose places one bucket gets; entries of a batch of the index family
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 BATCH = 1 << 17
 _WORK = 8 << 20
+_ROWS = 1 << 14
+_TURNS = 8
 
 
-def places(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, byte and hash of the chosen places: the least gram of each window, all of them if it occurs more than once."""
-    n = len(body) - gram + 1
+def places(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Row, byte and hash of the chosen places, and the least and most bytes before it at which its own windows start.
+
+    A window's place is the first of the least hash in it, so equal windows
+    choose alike, and each window of a row belongs to one place.
+    """
+    width = length - gram + 1
+    n = len(body) - length + 1
+    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    starts = np.arange(n)
+        return none
+    starts = np.arange(len(body) - gram + 1)
     h = range_hash(prefix_hash(body), starts, starts + gram)
-    width = length - gram + 1
-    span = 1
     # least hash of the ``width`` grams from each byte, by doubling
-    least = h
+    least, span = h, 1
     while span * 2 <= width:
-        least = np.minimum(least[: len(least) - span], least[span:])
+        least = np.minimum(least[:-span], least[span:])
         span *= 2
-    rest = width - span
-    if rest:
-        least = np.minimum(least[: len(least) - rest], least[rest:])
-    if len(least) == 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    # windows that end with their row
-    row_end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    inside = np.arange(len(least)) + length <= row_end
-    # a place is chosen if a window that holds it has its hash as the least: the windows from width-1 before it
-    chosen = np.zeros(n, bool)
-    least = np.where(inside, least, np.uint64(0))
+    if width > span:
+        least = np.minimum(least[: span - width], least[width - span :])
+    row_end = np.repeat(offsets[1:], np.diff(offsets))[:n]
+    window = np.flatnonzero(np.arange(n) + length <= row_end)
+    if len(window) == 0:
+        return none
+    # runs of windows with one least hash: the first place with it serves them until it leaves the window
+    new = np.concatenate(([True], (least[window[1:]] != least[window[:-1]]) | (window[1:] != window[:-1] + 1)))
+    first, last = window[new], window[np.append(np.flatnonzero(new)[1:], len(window)) - 1]
+    found = []
+    for _ in range(_TURNS):
+        at = _first_place(h, least, first, width)
+        found.append((at, first, np.minimum(at, last)))
+        more = at < last
+        first, last = at[more] + 1, last[more]
+        if len(first) == 0:
+            break
+    else:
+        # very many equal grams in a row: window by window
+        sizes = last - first + 1
+        each = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        found.append((_first_place(h, least, each, width), each, each))
+    at, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((first, at))
+    at, first, last = at[order], first[order], last[order]
+    head = group_starts(at)
+    at, first, last = at[head], first[head], np.maximum.reduceat(last, head)
+    return np.searchsorted(offsets, at, side="right") - 1, at, h[at], at - last, at - first
+
+
+def _first_place(h: np.ndarray, least: np.ndarray, window: np.ndarray, width: int) -> np.ndarray:
+    """The first byte of each window whose gram has the least hash of the window."""
+    at, open_ = window.copy(), np.arange(len(window))
     for back in range(width):
-        m = min(len(least), n - back)
-        chosen[back : back + m] |= (h[back : back + m] == least[:m]) & inside[:m]
-    at = np.flatnonzero(chosen)
-    return np.searchsorted(offsets, at, side="right") - 1, at, h[at]
+        here = window[open_]
+        hit = h[here + back] == least[here]
+        at[open_[hit]] = here[hit] + back
+        open_ = open_[~hit]
+        if len(open_) == 0:
+            break
+    return at
 
 
 def _cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,43 +116,59 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values byte plane by byte plane: planes that hardly change take little room in a shuffle file."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _values(data: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """48 bits of a hash are enough to find candidates; more false ones only cost work."""
+    return h & np.uint64(2**64 - 2**16)
+
+
 def _send(buckets: int, length: int, gram: int):
     """Per piece of work and bucket the hashes (with their document) of its places; hashes of several own documents
     are answered here (bucket -1) and sent only as a witness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for work in units(batches, most=_WORK):
-            docs, keys, hashes = [], [], []
+            docs, hashes = [], []
             for unit in units(iter([work])):
-                offsets, body, doc, key = _cut(unit)
-                row, _, h = places(body, offsets, length, gram)
+                offsets, body, doc, _ = _cut(unit)
+                row, _, h, _, _ = places(body, offsets, length, gram)
                 docs.append(doc[row])
-                keys.append(key[row])
-                hashes.append(h)
-            doc, key, h = np.concatenate(docs), np.concatenate(keys), np.concatenate(hashes)
+                hashes.append(_short(h))
+            doc, h = np.concatenate(docs), np.concatenate(hashes)
             if len(h) == 0:
                 continue
-            order = np.lexsort((key, doc, h))
-            doc, key, h = doc[order], key[order], h[order]
+            order = np.lexsort((doc, h))
+            doc, h = doc[order], h[order]
             first = group_starts(h)
-            low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            low, high = doc[first], doc[np.append(first[1:], len(h)) - 1]
             shared = low < high
-            mine = np.flatnonzero(shared[group])
-            out = list(_answers(doc[mine], key[mine], h[mine]))
-            bucket, witness = _bucket(h[first], buckets), first
-            by = np.argsort(bucket, kind="stable")
-            marks = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                some = by[marks[b] : marks[b + 1]]
-                if len(some):
-                    at = witness[some]
-                    out.append((b, 0, 0, h[at].tobytes() + doc[at].tobytes() + key[at].tobytes() + shared[some].astype(np.uint8).tobytes()))
+            mine = np.flatnonzero(np.repeat(shared, np.diff(np.append(first, len(h)))))
+            out = list(_answers(doc[mine], h[mine]))
+            bucket = _bucket(h[first], buckets)
+            for b, some in _runs(bucket, np.argsort(bucket, kind="stable")):
+                at = first[some]
+                out.append((b, 0, 0, _planes(h[at]) + _planes(doc[at]) + shared[some].astype(np.uint8).tobytes()))
             yield _rows(out)
 
     return run
 
 
+def _runs(value: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values in order, each with the places that have it."""
+    bounds = np.append(group_starts(value[order]), len(order)).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield int(value[order[a]]), order[a:b]
+
+
 _PACKED = "bucket int, doc long, key long, data binary"
 
 
@@ -129,31 +177,29 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(data, pa.binary())], ["bucket", "doc", "key", "data"])
 
 
-def _answers(doc: np.ndarray, key: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+def _answers(doc: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
     """One row per document: its values packed."""
-    if len(doc) == 0:
-        return
-    order = np.lexsort((key, doc))
-    doc, key, h = doc[order], key[order], h[order]
-    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-    for a, b in zip(first, np.append(first[1:], len(doc)), strict=True):
-        yield -1, int(doc[a]), int(key[a]), h[a:b].tobytes()
+    order = np.argsort(doc, kind="stable")
+    for d, some in _runs(doc, order):
+        yield -1, d, 0, _planes(np.sort(h[some]))
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """What a bucket answers: for the hashes that several documents have, the documents that do not know it yet."""
     parts = []
     for data in rows["data"]:
-        n = len(data) // 25
-        cut = [np.frombuffer(data, t, n, s * n) for t, s in ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.uint8, 24))]
-        parts.append(cut)
-    h, doc, key, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = len(data) // 17
+        parts.append((_values(data, np.uint64, n, 0), _values(data, np.int64, n, 8 * n), np.frombuffer(data, np.uint8, n, 16 * n)))
+    h, doc, known = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(h, kind="stable")
-    h, doc, key, known = h[order], doc[order], key[order], known[order]
+    h, doc, known = h[order], doc[order], known[order]
     first = group_starts(h)
     several = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(known, first) > 0)
     told = np.repeat(several, np.diff(np.append(first, len(h)))) & (known == 0)
-    out = list(_answers(doc[told], key[told], h[told]))
+    return _frame(list(_answers(doc[told], h[told])))
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"doc": pd.Series([x[1] for x in out], dtype="int64"), "key": pd.Series([x[2] for x in out], dtype="int64"), "data": [x[3] for x in out]})
 
 
@@ -164,58 +210,64 @@ def _contexts(buckets: int, length: int, gram: int):
 
     def entries(unit: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         offsets, body, doc, key = _cut(unit)
-        row, at, h = places(body, offsets, length, gram)
+        row, at, h, least, most = places(body, offsets, length, gram)
         wanted = unit.column("data").to_pylist()
         keep = np.zeros(len(row), bool)
         marks = np.searchsorted(row, np.arange(len(wanted) + 1))
         for i, data in enumerate(wanted):
             a, b = marks[i], marks[i + 1]
             if data is not None and a < b:
-                known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in data]))
-                keep[a:b] = np.isin(h[a:b], known)
-        row, at, h = row[keep], at[keep], h[keep]
+                known = np.unique(np.concatenate([_values(x, np.uint64, len(x) // 8, 0) for x in data]))
+                keep[a:b] = np.isin(_short(h[a:b]), known)
+        row, at, h, least, most = row[keep], at[keep], h[keep], least[keep], most[keep]
         padded = np.concatenate((np.zeros(side, np.uint8), body, np.zeros(side + gram, np.uint8)))
-        ctx = padded[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), np.uint8)
-        # windows start ``back`` bytes before the place and stay in their row
-        most = np.minimum(side, at - offsets[row])
-        least = np.maximum(0, at + length - offsets[row + 1])
+        byte = np.arange(width)
+        ctx = padded[at[:, None] + byte] if len(at) else np.zeros((0, width), np.uint8)
+        # only the bytes of its own windows tell one place from another
+        ctx[(byte < (side - most)[:, None]) | (byte >= (side - least + length)[:, None])] = 0
         return doc[row], key[row], at - offsets[row], h, least, most, ctx
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for work in units(batches, most=_WORK // 2):
+        for work in units(_with_texts(batches), most=_WORK // 4):
             parts = [entries(u) for u in units(iter([work]))]
             doc, key, at, h, least, most, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(doc) == 0:
                 continue
-            same = np.concatenate((ctx, least[:, None].astype(np.uint8), most[:, None].astype(np.uint8)), axis=1)
-            kind = np.ascontiguousarray(same).view(np.dtype((np.void, width + 2))).ravel()
-            order = np.argsort(range_hash(prefix_hash(same.ravel()), np.arange(len(same)) * (width + 2), (np.arange(len(same)) + 1) * (width + 2)), kind="stable")
-            breaks = np.concatenate(([True], kind[order][1:] != kind[order][:-1]))
-            group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(breaks) - 1
-            low = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, group, doc)
-            first = doc == low[group]
-            out = []
-            # every window of a larger document's copy is in the smaller one
-            copy = np.flatnonzero(~first)
-            if len(copy):
-                all_backs = ((np.uint64(1) << (most[copy] + 1).astype(np.uint64)) - np.uint64(1)) & ~((np.uint64(1) << least[copy].astype(np.uint64)) - np.uint64(1))
-                out += _matches(doc[copy], key[copy], at[copy], all_backs)
-            sent = np.flatnonzero(first)
+            first, copy = _first_copies(doc, least, most, ctx)
+            out = _matches(doc[copy], key[copy], at[copy], _all_backs(least[copy], most[copy])) if len(copy) else []
+            sent = first
             bucket = _bucket(h[sent], buckets)
             by = np.lexsort((doc[sent], bucket))
-            marks = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                i = sent[by[marks[b] : marks[b + 1]]]
-                if len(i):
-                    data = doc[i].tobytes() + key[i].tobytes() + at[i].astype(np.int32).tobytes() + least[i].astype(np.uint8).tobytes() + most[i].astype(np.uint8).tobytes() + ctx[i].tobytes()
-                    out.append((b, 0, 0, data))
+            for b, some in _runs(bucket, by):
+                i = sent[some]
+                data = doc[i].tobytes() + key[i].tobytes() + at[i].astype(np.int32).tobytes() + least[i].astype(np.uint8).tobytes() + most[i].astype(np.uint8).tobytes() + ctx[i].tobytes()
+                out.append((b, 0, 0, data))
             yield _rows(out)
 
     return run
 
 
+def _first_copies(doc: np.ndarray, least: np.ndarray, most: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the smallest document with their bytes and windows, and the others: all windows of those are matched."""
+    same = np.concatenate((ctx, least[:, None].astype(np.uint8), most[:, None].astype(np.uint8)), axis=1)
+    order = np.argsort(np.concatenate([_row_hashes(same[i : i + _ROWS]) for i in range(0, len(same), _ROWS)]), kind="stable")
+    breaks = np.concatenate([[True], *[(same[order[i + 1 : i + 1 + _ROWS]] != same[order[i : i + _ROWS][: len(order) - 1 - i]]).any(axis=1) for i in range(0, len(order) - 1, _ROWS)]])
+    low = np.minimum.reduceat(doc[order], np.flatnonzero(breaks))
+    is_first = np.empty(len(order), bool)
+    is_first[order] = doc[order] == low[np.cumsum(breaks) - 1]
+    return np.flatnonzero(is_first), np.flatnonzero(~is_first)
+
+
+def _all_backs(least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    one = np.uint64(1)
+    return ((one << (most + 1).astype(np.uint64)) - one) & ~((one << least.astype(np.uint64)) - one)
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    edges = np.arange(len(rows) + 1) * rows.shape[1]
+    return range_hash(prefix_hash(rows.ravel()), edges[:-1], edges[1:])
+
+
 def _matches(doc: np.ndarray, key: np.ndarray, at: np.ndarray, backs: np.ndarray) -> list[tuple]:
     """One row per document: places and the set of matched windows of each, packed."""
     order = np.lexsort((key, doc))
@@ -234,10 +286,10 @@ class Family:
 
     def _same(self, e1: np.ndarray, s1: np.ndarray, e2: np.ndarray, s2: np.ndarray) -> np.ndarray:
         out = np.zeros(len(e1), bool)
-        for a in range(0, len(e1), 1 << 16):
-            b = slice(a, a + (1 << 16))
-            i = np.arange(self.length)
-            out[b] = (self.ctx[e1[b][:, None], s1[b][:, None] + i] == self.ctx[e2[b][:, None], s2[b][:, None] + i]).all(axis=1)
+        for a in range(0, len(e1), _ROWS):
+            b = slice(a, a + _ROWS)
+            i = np.arange(self.length, dtype=np.int32)
+            out[b] = (self.ctx[e1[b][:, None], s1[b][:, None].astype(np.int32) + i] == self.ctx[e2[b][:, None], s2[b][:, None].astype(np.int32) + i]).all(axis=1)
         return out
 
     def scan(self, h: np.ndarray, entry: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -283,8 +335,8 @@ def matched_windows(doc: np.ndarray, least: np.ndarray, most: np.ndarray, ctx: n
             some = own[(back >= least[a:b]) & (back <= most[a:b])]
             at = (some - a) * width + start
             hs.append(range_hash(running, at, at + length))
-            es.append(some)
-            ss.append(np.full(len(some), start))
+            es.append(some.astype(np.int32))
+            ss.append(np.full(len(some), start, np.int8))
         h, entry, start = np.concatenate(hs), np.concatenate(es), np.concatenate(ss)
         order = np.lexsort((doc[entry], h))
         h, entry, start = h[order], entry[order], start[order]
@@ -305,7 +357,7 @@ def matched_windows(doc: np.ndarray, least: np.ndarray, most: np.ndarray, ctx: n
                         fresh[i] = False
                         hit[i] |= bool(doc[entry[i]] > doc[entry[j]])
                         break
-        np.bitwise_or.at(backs, entry[hit], np.uint64(1) << (side - start[hit]).astype(np.uint64))
+        np.bitwise_or.at(backs, entry[hit], np.uint64(1) << (side - start[hit].astype(np.int64)).astype(np.uint64))
         new = fresh & ~hit
         family.add(h[new], entry[new], start[new])
         a = b
@@ -322,12 +374,14 @@ def _search(length: int, gram: int):
             cuts = ((np.int64, 0, n), (np.int64, 8 * n, n), (np.int32, 16 * n, n), (np.uint8, 20 * n, n), (np.uint8, 21 * n, n))
             parts.append([*(np.frombuffer(data, t, m, o) for t, o, m in cuts), np.frombuffer(data, np.uint8, n * width, 22 * n).reshape(n, width)])
         doc, key, at, least, most, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(doc, kind="stable")
-        doc, key, at, least, most, ctx = doc[order], key[order], at[order], least[order].astype(np.int64), most[order].astype(np.int64), ctx[order]
-        backs = matched_windows(doc, least, most, ctx, length, gram)
+        least, most = least.astype(np.int64), most.astype(np.int64)
+        first, copy = _first_copies(doc, least, most, ctx)
+        first = first[np.argsort(doc[first], kind="stable")]
+        backs = np.zeros(len(doc), np.uint64)
+        backs[copy] = _all_backs(least[copy], most[copy])
+        backs[first] = matched_windows(doc[first], least[first], most[first], ctx[first], length, gram)
         some = np.flatnonzero(backs)
-        out = _matches(doc[some], key[some], at[some], backs[some]) if len(some) else []
-        return pd.DataFrame({"doc": pd.Series([x[1] for x in out], dtype="int64"), "key": pd.Series([x[2] for x in out], dtype="int64"), "data": [x[3] for x in out]})
+        return _frame(_matches(doc[some], key[some], at[some], backs[some]) if len(some) else [])
 
     return run
 
@@ -357,7 +411,7 @@ def _result(text: Column, found: Column, length: int) -> Column:
     def run(texts: pd.Series, data: pd.Series) -> pd.DataFrame:
         out = []
         for t, d in zip(texts, data, strict=True):
-            raw = (t or "").encode("utf-8", "surrogatepass")
+            raw = _unpacked(t)
             if d is None or len(d) == 0:
                 out.append((len(raw), raw, [], []))
                 continue
@@ -385,19 +439,40 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     sent = numbered.mapInArrow(_send(buckets, length, gram), _PACKED)
     # what a piece of work answers itself passes through the same exchange, spread over the buckets
     asked = sent.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(spread))
-    shared = asked.groupBy("to").applyInPandas(lambda g: _pass(g, _shared), "doc long, key long, data binary")
-    by_doc = shared.groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list("data").alias("data"))
-    here = (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k"))
-    known = numbered.join(by_doc, here).select("doc", "key", "text", "data")
+    shared = stored(asked.groupBy("to").applyInPandas(lambda g: _pass(g, _shared), "doc long, key long, data binary"), "shared-places")
+    by_doc = shared.groupBy(F.col("doc").alias("_d")).agg(F.collect_list("data").alias("data"))
+    packed = rows.mapInArrow(_packed_texts, "doc long, key long, packed binary")
+    known = packed.join(by_doc, F.col("doc") == F.col("_d")).select("doc", "key", "packed", "data")
     found = known.mapInArrow(_contexts(buckets, length, gram), _PACKED)
     dealt = found.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(spread))
     search = _search(length, gram)
     matched = dealt.groupBy("to").applyInPandas(lambda g: _pass(g, search), "doc long, key long, data binary")
     runs = matched.groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list("data").alias("found"))
-    joined = rows.join(runs, here, "left").select("doc", _result(F.col("text"), F.col("found"), length).alias("r"))
+    here = (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k"))
+    joined = packed.join(runs, here, "left").select("doc", _result(F.col("packed"), F.col("found"), length).alias("r"))
     return joined.select(F.col("doc").alias("doc_id"), "r.*")
 
 
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed: they are moved twice."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for unit in units(batches):
+        data = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in unit.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([unit.column("doc"), unit.column("key"), pa.array(data, pa.binary())], ["doc", "key", "packed"])
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            texts = pa.array([_unpacked(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("key"), texts, part.column("data")], ["doc", "key", "text", "data"])
+
+
 def _pass(rows: pd.DataFrame, work) -> pd.DataFrame:
     """Rows for documents as they are, rows for a bucket worked on."""
     ready, packed = rows[rows["bucket"] < 0], rows[rows["bucket"] >= 0]
