@@ -83,9 +83,10 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     poor = labels.where("quality = 0").select("doc_id", F.lit(tokencounts.VERSION).alias("version"))
     gone = events(poor.withColumns({"source": F.lit(None), "lang": F.lit(None), "tokens": F.lit(0)}), "delete", 1)
     tokencounts.commit(spark, store, 1, gone)
-    toxic = docs.join(labels.where("toxic = 1 and quality = 1").select("doc_id"), "doc_id", "left_semi")
-    short = toxic.withColumn("text", F.regexp_replace("text", r"\s+", " "))
-    tokencounts.commit(spark, store, 2, events(tokencounts.count_tokens(short), "revise", 2))
+    # counted before the join, so that no text is shuffled
+    short = tokencounts.count_tokens(docs.withColumn("text", F.regexp_replace("text", r"\s+", " ")))
+    toxic = short.join(labels.where("toxic = 1 and quality = 1").select("doc_id"), "doc_id", "left_semi")
+    tokencounts.commit(spark, store, 2, events(toxic, "revise", 2))
     tokencounts.commit(spark, store, 1, gone)
     other = tokencounts.count_tokens(docs.where("lang = 'es'"), "byte_bpe_multi_50k")
     tokencounts.commit(spark, store, 3, events(other, "insert", 3))
