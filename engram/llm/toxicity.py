@@ -73,12 +73,12 @@ class _Rows:
     def __init__(self, index: list[np.ndarray], value: list[np.ndarray], width: int):
         sizes = np.array([len(x) for x in index])
         self.rows, self.width = len(sizes), width
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
-        self.col = np.concatenate([*index, np.zeros(0, np.int32)]).astype(np.int64)
-        self.val = np.concatenate([*value, np.zeros(0)]).astype(np.float64)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.col = np.concatenate([*index, np.zeros(0, np.int32)])
+        self.val = np.concatenate([*value, np.zeros(0, np.float32)])
         rms = np.sqrt(np.bincount(self.col, self.val**2, width) / max(1, self.rows))
         self.scale = np.where(rms > 0, 1 / np.maximum(rms, 1e-12), 0.0)
-        self.val = self.val * self.scale[self.col]
+        self.val *= self.scale[self.col].astype(np.float32)
 
     def only(self, cols: np.ndarray) -> None:
         keep = np.isin(self.col, cols)
@@ -158,7 +158,7 @@ def _counts(names: dict[str, int] | None):
                     continue
                 own = sorted((names[w], n) for w, n in found.items() if w in names)
                 index = np.array([i for i, _ in own], np.int32)
-                value = np.log1p(np.array([n for _, n in own], np.float64))
+                value = np.log1p(np.array([n for _, n in own], np.float32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc], pa.int64()), pa.array([grade], pa.int32()), pa.array([index.tobytes()]), pa.array([value.tobytes()])],
                     ["doc_id", "grade", "index", "value"],
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, grades: DataFrame, top: int, rows: int = SAMPLE_ROWS) -
     packed = sample.mapInArrow(_counts({w: i for i, w in enumerate(names)}), "doc_id long, grade int, index binary, value binary").collect()
     packed.sort(key=lambda r: r["doc_id"])
     index = [np.frombuffer(r["index"], np.int32) for r in packed]
-    value = [np.frombuffer(r["value"], np.float64) for r in packed]
+    value = [np.frombuffer(r["value"], np.float32) for r in packed]
     return fit_rows(index, value, np.array([r["grade"] for r in packed], np.int64), names, top + 1)
 
 
