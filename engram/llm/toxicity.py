@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from engram.llm.common import row_key, stored
 
 # the sample: labelled documents, and the words that count as features
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 5_000
 MIN_ROWS = 8
 MOST_ROWS = 0.5
 MAX_WORDS = 65_536
@@ -190,7 +190,9 @@ def fit(docs: DataFrame, grades: DataFrame, top: int, rows: int = SAMPLE_ROWS) -
     packed.sort(key=lambda r: r["doc_id"])
     index = [np.frombuffer(r["index"], np.int32) for r in packed]
     value = [np.frombuffer(r["value"], np.float32) for r in packed]
-    return fit_rows(index, value, np.array([r["grade"] for r in packed], np.int64), names, top + 1)
+    grade = np.array([r["grade"] for r in packed], np.int64)
+    del packed
+    return fit_rows(index, value, grade, names, top + 1)
 
 
 def severity(model: Model, text: Column) -> Column:
