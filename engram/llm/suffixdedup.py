@@ -386,19 +386,16 @@ def _search(length: int, gram: int):
     return run
 
 
-def removed_runs(size: int, found: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def removed_runs(found: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs that the matched windows cover."""
-    change = np.zeros(size + 1, np.int64)
-    for data in found:
-        n = len(data) // 16
-        at, backs = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint64, n, 8 * n)
-        for back in range(length):
-            some = at[(backs >> np.uint64(back)) & np.uint64(1) == 1] - back
-            np.add.at(change, some, 1)
-            np.add.at(change, some + length, -1)
-    covered = np.concatenate(([False], np.cumsum(change[:-1]) > 0, [False]))
-    edges = np.flatnonzero(covered[1:] != covered[:-1])
-    return edges[::2], edges[1::2]
+    sizes = [len(data) // 16 for data in found]
+    at = np.concatenate([np.frombuffer(data, np.int64, n) for data, n in zip(found, sizes, strict=True)])
+    backs = np.concatenate([np.frombuffer(data, np.uint64, n, 8 * n) for data, n in zip(found, sizes, strict=True)])
+    entry, back = np.nonzero(np.unpackbits(backs.view(np.uint8), bitorder="little").reshape(-1, 64))
+    starts = np.unique(at[entry] - back)
+    # windows that touch make one run
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + length)))
+    return starts[first], starts[np.append(first[1:], len(starts)) - 1] + length
 
 
 def cut_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -415,7 +412,7 @@ def _result(text: Column, found: Column, length: int) -> Column:
             if d is None or len(d) == 0:
                 out.append((len(raw), raw, [], []))
                 continue
-            starts, ends = removed_runs(len(raw), list(d), length)
+            starts, ends = removed_runs(list(d), length)
             out.append((len(raw), cut_bytes(raw, starts, ends), starts.tolist(), ends.tolist()))
         return pd.DataFrame(out, columns=["n_bytes", "kept", "starts", "ends"])
 
