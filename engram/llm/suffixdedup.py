@@ -38,7 +38,7 @@ from engram.llm.common import group_starts, mix, offsets_of, prefix_hash, range_
 LENGTH = 50
 GRAM = 20
 # text whose places one bucket gets; entries of a batch of the index family
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 BATCH = 1 << 17
 _WORK = 8 << 20
 _ROWS = 1 << 14
@@ -228,6 +228,7 @@ def _contexts(buckets: int, length: int, gram: int):
         return doc[row], key[row], at - offsets[row], h, least, most, ctx
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for work in units(_with_texts(batches), most=_WORK // 4):
             parts = [entries(u) for u in units(iter([work]))]
             doc, key, at, h, least, most, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -241,7 +242,7 @@ def _contexts(buckets: int, length: int, gram: int):
             for b, some in _runs(bucket, by):
                 i = sent[some]
                 data = doc[i].tobytes() + key[i].tobytes() + at[i].astype(np.int32).tobytes() + least[i].astype(np.uint8).tobytes() + most[i].astype(np.uint8).tobytes() + ctx[i].tobytes()
-                out.append((b, 0, 0, data))
+                out.append((b, 0, 0, packer.compress(data)))
             yield _rows(out)
 
     return run
@@ -369,7 +370,7 @@ def _search(length: int, gram: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for data in rows["data"]:
+        for data in map(_unpacked, rows["data"]):
             n = len(data) // (22 + width)
             cuts = ((np.int64, 0, n), (np.int64, 8 * n, n), (np.int32, 16 * n, n), (np.uint8, 20 * n, n), (np.uint8, 21 * n, n))
             parts.append([*(np.frombuffer(data, t, m, o) for t, o, m in cuts), np.frombuffer(data, np.uint8, n * width, 22 * n).reshape(n, width)])
