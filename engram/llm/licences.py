@@ -198,13 +198,78 @@ def fit(docs: DataFrame, rows: int = SAMPLE_DOCS, paragraphs: int = SAMPLE_PARAG
     return train([t for t in sample if not notice(t)])
 
 
+def paragraphs(text: str) -> list[tuple[int, list[str]]]:
+    """The stretches between blank lines: number of the first line (blank ones do not count) and the lines."""
+    out, n, open_ = [], 0, False
+    for line in text.split("\n"):
+        if not line.strip():
+            open_ = False
+            continue
+        if open_:
+            out[-1][1].append(line)
+        else:
+            out.append((n, [line]))
+        n, open_ = n + 1, True
+    return out
+
+
+def wrapped(model: Model, lines: list[str], sure: dict[int, tuple[str, float]]) -> list[tuple[int, int, tuple, str]]:
+    """Confirmed notices in the joined ``lines``: first and last line, what ``classify`` says, text.
+
+    For each template that is there, the span of its size that holds most of
+    its word pairs is judged. Of families that claim the same words the one
+    nearer to its template is taken; ``sure`` has the families and shares of
+    the lines confirmed by themselves, which are not found again.
+    """
+    joined = "\n".join(lines)
+    spans = [m.span() for m in _WORD.finditer(joined)]
+    tokens = [joined[a:b].lower() for a, b in spans]
+    places: dict[str, list[int]] = {}
+    for i, (x, y) in enumerate(zip(tokens, tokens[1:], strict=False)):
+        places.setdefault(f"{x} {y}", []).append(i)
+    claims, families = [], {family for family, _ in sure.values()}
+    for family, notices in model._pairs.items():
+        for pairs in notices:
+            held = pairs & places.keys()
+            if family in families or not pairs or len(held) < CONFIRM * len(pairs):
+                continue
+            # a template's words are about its pairs; some may be added
+            width, count, inside, low, best = len(pairs) + len(pairs) // 4 + 1, Counter(), 0, 0, (0, 0, 0)
+            marks = sorted((i, p) for p in held for i in places[p])
+            for at, p in marks:
+                count[p] += 1
+                inside += count[p] == 1
+                while at - marks[low][0] > width:
+                    count[marks[low][1]] -= 1
+                    inside -= count[marks[low][1]] == 0
+                    low += 1
+                best = max(best, (inside, -marks[low][0], at))
+            start, end = spans[-best[1]][0], spans[best[2] + 1][1]
+            part = joined[start:end]
+            found = model.classify(part)
+            if found is None or found[0] == UNKNOWN or found[2] < CONFIRM:
+                continue
+            first, last = joined.count("\n", 0, start), joined.count("\n", 0, end)
+            if found[0] not in families and all(sure[i][1] < found[2] for i in range(first, last + 1) if i in sure):
+                claims.append((found[2], end - start, -start, first, last, found, part))
+    out, taken = [], []
+    for _, size, start, first, last, found, part in sorted(claims, key=lambda x: x[:3], reverse=True):
+        if all(-start >= high or -start + size <= low for low, high in taken):
+            taken.append((-start, -start + size))
+            out.append((first, last, found, part))
+    return out
+
+
 _HITS = "array<struct<paragraph: int, family: string, probability: double, overlap: double, confirmed: boolean, text: string>>"
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, key, n_paragraphs, hits per row: the paragraphs (lines that are not blank) that are licence notices.
+    """doc_id, key, n_paragraphs, hits per row: the lines that are licence notices, and the notices over several lines.
 
-    A hit has the number of its paragraph, the family, its probability, the
+    Lines that are not blank are counted and judged each for itself; then the
+    lines between two blank ones are joined, and a notice that only the joined
+    text confirms takes the place of what its lines gave unconfirmed. A hit
+    has the number of its (first) line, the family, its probability, the
     share of the best template's word pairs, and whether that confirms the
     family. A null or empty text has no paragraphs; equal rows give equal
     results; other columns are ignored; an empty table gives no rows.
@@ -216,14 +281,20 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             known: dict[str, tuple | None] = {}
             numbers, out = [], []
             for text in unit.column("text").to_pylist():
-                lines = [line for line in (text or "").split("\n") if line.strip()]
-                numbers.append(len(lines))
+                blocks = paragraphs(text or "")
+                numbers.append(sum(len(lines) for _, lines in blocks))
                 hits = []
-                for i, line in enumerate(lines):
-                    found = known[line] if line in known else known.setdefault(line, model.classify(line))
-                    if found:
-                        family, p, overlap = found
-                        hits.append((i, family, round(p, 6), round(overlap, 6), family != UNKNOWN and overlap >= CONFIRM, line))
+                for start, lines in blocks:
+                    own = []
+                    for i, line in enumerate(lines, start):
+                        found = known[line] if line in known else known.setdefault(line, model.classify(line))
+                        if found:
+                            family, p, overlap = found
+                            own.append((i, family, round(p, 6), round(overlap, 6), family != UNKNOWN and overlap >= CONFIRM, line))
+                    for first, last, (family, p, overlap), part in wrapped(model, lines, {h[0] - start: (h[1], h[3]) for h in own if h[4]}):
+                        own = [h for h in own if h[4] or not start + first <= h[0] <= start + last]
+                        own.append((start + first, family, round(p, 6), round(overlap, 6), True, part))
+                    hits += sorted(own, key=lambda h: h[0])
                 out.append([dict(zip([f.name for f in kind], h, strict=True)) for h in hits])
             yield pa.RecordBatch.from_arrays([unit.column("doc_id"), unit.column("key"), pa.array(numbers, pa.int32()), pa.array(out, pa.list_(kind))], ["doc_id", "key", "n_paragraphs", "hits"])
 

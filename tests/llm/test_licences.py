@@ -44,6 +44,18 @@ def test_edge_cases(spark, documents):
     assert licences.scan(documents([]), licences.fit(documents([]))).count() == 0
 
 
+def test_wrapped_notices(documents):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = " * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and\n * associated documentation files"
+    prose = "\n".join(background(30))
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    pairs = [(1, f"First words.\n\n{gpl}\n\nLast words."), (2, f"{prose}\n{mit}\n{prose}"), (3, bsd), *((10 + i, t) for i, t in enumerate(background(60)))]
+    docs = documents(pairs)
+    got = {r.doc_id: [(h.paragraph, h.family) for h in r.hits if h.confirmed] for r in licences.scan(docs, licences.fit(docs)).collect()}
+    assert got[1] == [(1, "gpl")] and got[2] == [(30, "mit")] and got[3] == [(0, "bsd")]
+    assert not any(got[i] for i in got if i >= 10)
+
+
 def test_query_finds_the_notices(spark, sf):
     got = {r.doc_id: r.families for r in entry.queries()["op6_licence_scan"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
