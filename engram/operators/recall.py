@@ -170,19 +170,23 @@ def recall_approximate(
 
     A bucket is a scope of the same block top-k, so a hot bucket is cut into
     blocks as a hot tenant is, and candidate pairs never become rows. Every
-    returned score is exact; a true neighbour is missed only when it shares no
-    bucket with the query.
+    returned score is exact. A query also looks into the buckets one sign away
+    from its own; a true neighbour is missed only when it is in none of them.
     """
+    near = F.array(F.lit(0), *[F.lit(1 << i) for i in range(bits)])
 
-    def in_buckets(df: DataFrame, vector_col: str) -> DataFrame:
+    def in_buckets(df: DataFrame, vector_col: str, probing: bool = False) -> DataFrame:
         coded = _plane_codes(df, vector_col, dim, tables, bits, seed)
         bucket = F.concat_ws("\x1f", "namespace", F.col("t").cast("string"), F.col("c").cast("string"))
-        return coded.select("*", F.posexplode("codes").alias("t", "c")).withColumn("namespace", bucket)
+        placed = coded.select("*", F.posexplode("codes").alias("t", "c"))
+        if probing:
+            placed = placed.withColumn("flip", F.explode(near)).withColumn("c", F.col("c").bitwiseXOR(F.col("flip"))).drop("flip")
+        return placed.withColumn("namespace", bucket)
 
     for name, default in (("namespace", DEFAULT_NAMESPACE), ("k", 10), ("threshold", 0.7)):
         requests = _with_default(requests, name, default)
-    probes = in_buckets(requests, "query_embedding")
-    probes = probes.withColumn("probe", F.struct("request_id", "t")).drop("request_id")
+    probes = in_buckets(requests, "query_embedding", probing=True)
+    probes = probes.withColumn("probe", F.struct("request_id", "t", "c")).drop("request_id")
     probes = probes.withColumnRenamed("probe", "request_id")
     bucketed = in_buckets(memories, "embedding")
     hits = top_k(bucketed, probes, dim, strategy)

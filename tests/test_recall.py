@@ -156,6 +156,15 @@ def test_approximate_recall(spark):
     assert all(rough[pair] == pytest.approx(exact[pair]) for pair in hits)
 
 
+def test_registered_approximate_search(spark):
+    from engram import queries
+
+    sf = "/root/testdata/sf0.01"
+    found = {(r.request_id, r.id) for r in queries.ann_recall(spark, sf).collect()}
+    exact = {(r.request_id, r.id) for r in queries.recall_batch(spark, sf).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
 def test_leak_audit_finds_foreign_rows(spark):
     m = texts(spark, [("1", "u", "n", "a", "{}"), ("2", "v", "n", "b", "{}")])
     requests = spark.createDataFrame([(1, "u")], "request_id int, user_id string")
