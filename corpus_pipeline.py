@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of SimHash near duplicates, then of texts with a five-word Jaccard of 0.8: that of the smallest doc_id."""
+    return simhash.keep_one(simhash.keep_one(docs), simhash.similar_texts)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from engram.llm import decontam, simhash
 
@@ -30,6 +32,24 @@ def test_stages(spark, sf, tmp_path):
     assert seen == [n for n, _ in corpus_pipeline.STAGES]
 
 
+def test_near_copies_are_dropped(spark, sf):
+    rng = random.Random(4)
+    made = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, alone = [], set()
+    for i in range(40):
+        words = made(240)
+        for k, changed in enumerate((0, 1, 2, 4)):
+            copy = list(words)
+            for at in rng.sample(range(240), changed):
+                copy[at] = f"other{i}_{k}_{at}"
+            rows.append((10 * i + k, " ".join(copy), "en", "s", 0))
+        # half of the words: another text
+        rows.append((10 * i + 5, " ".join(words[:120] + made(120)), "en", "s", 0))
+        alone |= {10 * i, 10 * i + 5}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.one_per_group(spark, docs, sf).collect()} == alone
+
+
 def test_empty_documents(spark, sf):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
