@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, licences, linededup, passages, pieces, simhash, suffixdedup, tokencounts, topk, toxicity
+from engram.llm import decontam, licences, linededup, merkle, passages, pieces, simhash, suffixdedup, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -93,6 +93,12 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokencounts.totals(spark, store)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +129,63 @@ ORACLE_SQL: dict[str, str] = {
             FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM (SELECT unnest(range(256)) AS i)
+        ), d AS (
+            SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 2 = 0
+                      THEN replace(text, chr(10), '') ELSE text END AS got
+            FROM documents, crc
+        ), f AS (
+            SELECT doc_id, source,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS t, coalesce(strlen(got) || ':' || got, '-') AS g
+            FROM d
+        ), leaves AS (
+            SELECT row_number() OVER (ORDER BY source, doc_id, l, r) AS rid, doc_id, source, l, r,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, l, r) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+            FROM (SELECT doc_id, source, sha256(head || t) AS l, sha256(head || g) AS r FROM f)
+        ), up AS (
+            SELECT coalesce('s' || source, '') AS tree, 0 AS lvl, pos, n, l AS h FROM leaves
+            UNION ALL
+            SELECT tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 3, n
+        ), subs AS (
+            SELECT tree, lvl AS height, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+        ), top AS (
+            SELECT 0 AS lvl, pos, n, h FROM subs
+            UNION ALL
+            SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n
+        ), nodes AS (
+            SELECT tree, lvl, pos, h FROM up WHERE n > 1
+            UNION ALL
+            SELECT s.tree, s.height + t.lvl, t.pos, t.h FROM subs s, top t WHERE t.n > 1
+        ), steps AS (
+            SELECT a.rid, a.lvl,
+                   coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+                   coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+            FROM (
+                SELECT rid, tree, lvl, CASE WHEN lvl < height THEN pos // CAST(3 ** lvl AS BIGINT) ELSE spos // CAST(3 ** (lvl - height) AS BIGINT) END AS pos
+                FROM (
+                    SELECT e.rid, s.tree, s.height, e.pos, s.pos AS spos, unnest(range(s.height + (SELECT max(lvl) FROM top))) AS lvl
+                    FROM leaves e JOIN subs s ON coalesce('s' || e.source, '') = s.tree
+                )
+            ) a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+            GROUP BY a.rid, a.lvl, a.pos
+        ), folded AS (
+            SELECT rid, 0 AS lvl, r AS h FROM leaves
+            UNION ALL
+            SELECT f.rid, f.lvl + 1, sha256(s.before || f.h || s.after) FROM folded f JOIN steps s ON f.rid = s.rid AND f.lvl = s.lvl
+        ), ends AS (
+            SELECT rid, arg_max(h, lvl) AS h FROM folded GROUP BY rid
+        ), proofs AS (
+            SELECT rid, string_agg(before || after, '' ORDER BY lvl) AS p FROM steps GROUP BY rid
+        )
+        SELECT e.doc_id, e.l AS leaf, s.h AS subroot, t.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256,
+               x.h AS folded_root, x.h = t.h AS verified
+        FROM leaves e JOIN subs s ON coalesce('s' || e.source, '') = s.tree JOIN ends x ON e.rid = x.rid
+             JOIN top t ON t.n = 1 LEFT JOIN proofs p ON e.rid = p.rid""",
 }
