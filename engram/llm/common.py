@@ -29,6 +29,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of ``stored`` tables whose readers have all been stored."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            sc = df.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def row_key() -> F.Column:
     """Tells rows of one doc_id but different texts apart; equal rows share it."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

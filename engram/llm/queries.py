@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, licences, linededup, merkle, passages, pieces, simhash, suffixdedup, tokencounts, topk, toxicity
+from engram.llm import decontam, licences, linededup, merkle, passages, pieces, simhash, suffixdedup, supermin, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -99,6 +99,10 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_supermin_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return supermin.near_duplicates(table(spark, sf, "documents")).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_supermin_dedup": op12_supermin_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -188,4 +193,29 @@ ORACLE_SQL: dict[str, str] = {
                x.h AS folded_root, x.h = t.h AS verified
         FROM leaves e JOIN subs s ON coalesce('s' || e.source, '') = s.tree JOIN ends x ON e.rid = x.rid
              JOIN top t ON t.n = 1 LEFT JOIN proofs p ON e.rid = p.rid""",
+    "op12_supermin_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+            FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+        ), links AS (
+            SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)
+        ), near AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN near l ON r.other = l.a
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT l.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
+        FROM least l LEFT JOIN n ON l.doc_id = n.doc_id""",
 }
