@@ -125,9 +125,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_ranges(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space) and the row of each; words end with their row."""
-    space = _SPACE[body]
+def word_ranges(body: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without ``gaps``, ASCII white space by default) and the row of each; words end with their row."""
+    space = gaps[body]
     inside = ~space
     if len(body) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, licences, linededup, merkle, passages, pieces, simhash, suffixdedup, supermin, tokencounts, topk, toxicity
+from engram.llm import decontam, licences, linededup, merkle, passages, phrases, pieces, simhash, suffixdedup, supermin, tokencounts, topk, toxicity
 from engram.llm.common import table
 from engram.session import new_dir
 
@@ -103,6 +103,10 @@ def op12_supermin_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return supermin.near_duplicates(table(spark, sf, "documents")).drop("key")
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_supermin_dedup": op12_supermin_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -218,4 +223,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT l.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
         FROM least l LEFT JOIN n ON l.doc_id = n.doc_id""",
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+        ), t AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+        ), g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+            FROM w, range(1, 6) AS s(k)
+        ), f AS (
+            SELECT lang, k, g, string_split(g, ' ') AS w, count(*) AS a FROM g GROUP BY lang, k, g HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT c.lang, c.k, c.g, c.a, j, l.a AS l, r.a AS r, t.n,
+                   CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+            FROM f c JOIN range(1, 5) AS s(j) ON j < c.k
+                 JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:j], ' ')
+                 JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[j + 1:c.k], ' ')
+                 JOIN t ON t.lang = c.lang
+        ), worst AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS place FROM cuts
+        ), alive AS (
+            SELECT * FROM worst c
+            WHERE place = 1 AND NOT EXISTS (
+                SELECT 1 FROM f d WHERE d.lang = c.lang AND d.k > c.k AND contains(' ' || d.g || ' ', ' ' || c.g || ' ') AND 100 * d.a >= 100 * c.a)
+        ), ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score FROM alive
+        )
+        SELECT * FROM ranked WHERE rank <= 2000""",
 }
