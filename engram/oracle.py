@@ -112,6 +112,13 @@ ORACLE_SQL["recall_namespace_all"] = (
 ORACLE_SQL["nearest_k"] = (
     _with(_MEM, _Q, _pairs("q", _SAME, "-2", "3")) + " SELECT request_id, rank, id, round(sim, 6) AS similarity FROM best"
 )
+ORACLE_SQL["ann_quality"] = (
+    _with(_MEM, _Q, _pairs("q", "TRUE", "0.0", "5"))
+    + """, n AS (SELECT user_id, count(*) AS n FROM mem GROUP BY user_id)
+SELECT b.user_id, any_value(n.n) AS n_requests, any_value(n.n) * any_value(n.n) AS n_pairs, count(*) AS n_true,
+  TRUE AS found_9_of_10, TRUE AS scored_under_30_percent
+FROM best b JOIN n USING (user_id) GROUP BY b.user_id"""
+)
 ORACLE_SQL["recall_metadata_filter"] = (
     _with(
         _MEM,

@@ -12,7 +12,7 @@ from engram.functions import vector as vec
 from engram.functions.metadata import metadata_contains
 from engram.functions.redact import redact_df
 from engram.functions.tiers import Bucket
-from engram.operators import billing, forget, keys, paging, quality, ratelimit, recall, tenancy, usage, writes
+from engram.operators import billing, cells, forget, keys, paging, quality, ratelimit, recall, tenancy, usage, writes
 from engram.session import new_dir
 from engram.sources import testdata as td
 from engram.sources.sinks import json_rows
@@ -109,6 +109,22 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(found)
 
 
+def ann_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Search over an index of inverted cells against the exact one: every embedding asks for 5 of its user's."""
+    path = new_dir(spark, "cells")
+    memories = td.vector_memories(spark, sf)
+    requests = td.vector_requests(spark, sf).drop("namespace")
+    cells.build_cells(memories, path, DIM)
+    found = cells.recall_cells(spark, path, requests).select("request_id", "id", F.lit(1).alias("hit"))
+    exact = recall.search(memories, requests, DIM).select("request_id", "user_id", "id")
+    share = exact.join(found, ["request_id", "id"], "left").groupBy("user_id").agg(F.count("*").alias("n_true"), F.count("hit").alias("hits"))
+    pairs = F.col("requests") * F.col("rows")
+    return cells.work(spark, path, requests).join(share, "user_id").select(
+        "user_id", F.col("requests").alias("n_requests"), pairs.alias("n_pairs"), "n_true",
+        (F.col("hits") * 10 >= F.col("n_true") * 9).alias("found_9_of_10"), (F.col("scored") * 10 <= pairs * 3).alias("scored_under_30_percent"),
+    )
+
+
 def list_page(spark: SparkSession, sf: str) -> DataFrame:
     number = F.col("request_id")
     requests = td.vector_requests(spark, sf, k=3).select(
@@ -751,7 +767,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recall_batch, recall_batch_blocks, recall_namespace_all, nearest_k, recall_metadata_filter, metadata_matches,
-        recall_formatted, ann_recall, list_page, list_keyset, normalize_hash, dedupe_documents, mock_embedding,
+        recall_formatted, ann_recall, ann_quality, list_page, list_keyset, normalize_hash, dedupe_documents, mock_embedding,
         vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
         update_content, update_metadata, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
