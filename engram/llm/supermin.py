@@ -33,10 +33,12 @@ SIZE = BANDS * BAND_ROWS
 # nodes with fewer equal slots are not compared in full: five deviations below what 80 % of equal shingles give
 AGREE = 57
 # nodes and shingles on a side of a tile
-TILE, TILE_SHINGLES = 1_000, 2_000_000
+TILE, TILE_SHINGLES = 1_000, 1_000_000
 # rows that one task compares by signature, shingles that one task compares in full
-TASK_ROWS, TASK_SHINGLES = 50_000, 8_000_000
+TASK_ROWS, TASK_SHINGLES = 20_000, 2_000_000
 HOT_PAIRS = 20_000
+# bytes of text a task works on at a time; each word has its own permutation of the slots
+TEXT_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
@@ -90,7 +92,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> np
         keep = (out == _EMPTY).any(axis=1)[row]
         elements, row, at = elements[keep], row[keep], at[keep]
         if order is None:
-            order = np.tile(np.arange(size, dtype=np.uint16), (len(elements), 1))
+            order = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint32), (len(elements), 1))
         else:
             order = order[keep]
         here = np.arange(len(elements))
@@ -113,7 +115,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _print(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
+        for unit in units(batches, most=TEXT_BYTES):
             elements, bounds = shingle_sets(unit, words)
             found = signatures(elements, bounds)
             keys = band_keys(found)
@@ -131,7 +133,7 @@ def _print(words: int):
 
 def _pack(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
+        for unit in units(batches, most=TEXT_BYTES):
             elements, bounds = shingle_sets(unit, words)
             sets = [elements[bounds[i] : bounds[i + 1]].tobytes() for i in range(unit.num_rows)]
             yield pa.RecordBatch.from_arrays([unit.column("node"), pa.array(np.diff(bounds)), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
@@ -192,41 +194,54 @@ def _star(rows: DataFrame, nodes: DataFrame, bands: DataFrame, words: int, perce
     return found
 
 
-def _owned(home: dict, guest: dict, band: int, percent: int) -> np.ndarray:
-    """Which (home, guest) pairs this tile of ``band`` decides: of different labels, alike enough, and in no earlier bucket together."""
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The 64-bit values of each entry, without a copy."""
+    data = column.combine_chunks().cast(pa.large_binary())
+    _, offsets, body = data.buffers()
+    marks = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1].tolist()
+    return [np.frombuffer(body, np.uint64, (end - start) // 8, start) for start, end in zip(marks, marks[1:], strict=False)]
+
+
+def _owned(home: dict, guest: dict, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (home, guest) pairs this tile of ``band`` decides, those with most equal slots first.
+
+    They have different labels, enough equal slots, and meet in no earlier band.
+    """
     differ = home["label"][:, None] != guest["label"][None, :]
     # two guests' labels meet in two tiles: the one of the smaller node counts
     differ &= ~home["roams"][:, None] | (home["node"][:, None] < guest["node"][None, :])
     na, nb = home["n"][:, None], guest["n"][None, :]
     differ &= (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
     i, j = np.nonzero(differ)
-    out = np.zeros(differ.shape, bool)
-    for at in range(0, len(i), 100_000):
-        p, q = i[at : at + 100_000], j[at : at + 100_000]
-        same = (home["sig"][p] == guest["sig"][q]).sum(axis=1) >= AGREE
-        p, q = p[same], q[same]
-        early = (home["bands"][p, :band] == guest["bands"][q, :band]).any(axis=1)
-        out[p[~early], q[~early]] = True
-    return out
+    found = []
+    for at in range(0, len(i), 50_000):
+        p, q = i[at : at + 50_000], j[at : at + 50_000]
+        same = (home["sig"][p] == guest["sig"][q]).sum(axis=1)
+        p, q, same = p[same >= AGREE], q[same >= AGREE], same[same >= AGREE]
+        late = ~(home["bands"][p, :band] == guest["bands"][q, :band]).any(axis=1)
+        found.append(np.stack([p[late], q[late], same[late]]))
+    p, q, same = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    order = np.argsort(-same, kind="stable")
+    return p[order], q[order]
 
 
 def _tiles(rows: pa.Table) -> Iterator[tuple[int, dict, dict, int]]:
     """(cell, home, guest, band) of the tiles in one task's rows."""
     column = lambda c: rows.column(c).to_numpy()
     order = np.argsort(column("cell"), kind="stable")
-    data = {c: column(c)[order] for c in ("cell", "band", "node", "label", "n", "guest", "roams")}
+    data = {c: column(c) for c in ("cell", "band", "node", "label", "n", "guest", "roams")}
     data["guest"], data["roams"] = data["guest"].astype(bool), data["roams"].astype(bool)
-    sig = rows.column("sig").combine_chunks()
-    data["sig"] = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(order), SIZE)[order]
-    data["bands"] = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(order), BANDS)[order]
-    if "shingles" in rows.column_names:
-        data["shingles"] = np.array(rows.column("shingles").to_pylist(), dtype=object)[order]
-    cuts = np.flatnonzero(np.diff(data["cell"])) + 1
+    data["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(order), SIZE)
+    data["bands"] = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(order), BANDS)
+    shingles = _views(rows.column("shingles")) if "shingles" in rows.column_names else None
+    cuts = np.flatnonzero(np.diff(data["cell"][order])) + 1
     for start, end in zip([0, *cuts], [*cuts, len(order)], strict=True):
-        part = {c: v[start:end] for c, v in data.items()}
-        visits = part["guest"]
-        home, guest = ({c: v[on] for c, v in part.items()} for on in (~visits, visits))
-        yield int(part["cell"][0]), home, guest, int(part["band"][0])
+        part, sides = order[start:end], []
+        for on in (~data["guest"][part], data["guest"][part]):
+            side = {c: v[part[on]] for c, v in data.items()}
+            side["shingles"] = [shingles[k] for k in part[on]] if shingles else None
+            sides.append(side)
+        yield int(data["cell"][part[0]]), *sides, int(data["band"][part[0]])
 
 
 def _meetings(percent: int):
@@ -235,11 +250,9 @@ def _meetings(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         out = {"cell": [], "node": [], "guest": []}
         for cell, home, guest, band in _tiles(rows):
-            if len(home["node"]) == 0 or len(guest["node"]) == 0:
-                continue
-            pairs = _owned(home, guest, band, percent)
-            for side, flag, on in ((home, False, pairs.any(axis=1)), (guest, True, pairs.any(axis=0))):
-                nodes = side["node"][on].tolist()
+            p, q = _owned(home, guest, band, percent)
+            for side, flag, at in ((home, False, p), (guest, True, q)):
+                nodes = side["node"][np.unique(at)].tolist()
                 out["node"] += nodes
                 out["cell"] += [cell] * len(nodes)
                 out["guest"] += [flag] * len(nodes)
@@ -262,11 +275,11 @@ def _joined(percent: int):
                     x = root[x]
                 return x
 
-            for i, j in zip(*np.nonzero(_owned(home, guest, band, percent)), strict=True):
+            for i, j in zip(*_owned(home, guest, band, percent), strict=True):
                 p, q = find(home["label"][i]), find(guest["label"][j])
                 if p == q:
                     continue
-                x, y = np.frombuffer(home["shingles"][i], np.uint64), np.frombuffer(guest["shingles"][j], np.uint64)
+                x, y = home["shingles"][i], guest["shingles"][j]
                 if linked(overlap(x, y), len(x), len(y), percent):
                     root[p] = q
                     a.append(home["node"][i])
