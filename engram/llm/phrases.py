@@ -32,9 +32,12 @@ TOP = 2_000
 ABSORBED = 100
 
 # distinct words a task holds before it passes their counts on
-MOST_WORDS = 200_000
-# rows of a task's trie before it spills, of a container before it bursts, windows per prefix partition
-MOST_ROWS, BURST, PART_ROWS = 1_000_000, 1 << 15, 1_000_000
+MOST_WORDS = 100_000
+# bytes of a task's trie before it spills, rows of a container before it bursts, windows per prefix partition
+MOST_BYTES, BURST, PART_ROWS = 64 << 20, 1 << 15, 1_000_000
+RUN_BYTES = 1 << 15
+# bytes of text a task works on at a time
+TEXT_BYTES = 1 << 20
 SLOTS = 64
 SIEVE_BITS = 25
 
@@ -85,7 +88,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
         return out
 
-    for unit in units(batches):
+    for unit in units(batches, most=TEXT_BYTES):
         ids, _, (body, starts, ends, row) = word_ids(unit)
         langs = unit.column("lang").to_pylist()
         rows, n = np.unique(row, return_counts=True)
@@ -215,8 +218,9 @@ class _Node:
 class Trie:
     """Counts of windows, bounded: ``spill`` frees whole subtrees as sorted runs."""
 
-    def __init__(self, width: int, lead: int, parts: int, most: int = MOST_ROWS):
-        self.width, self.lead, self.parts, self.most = width, lead, parts, most
+    def __init__(self, width: int, lead: int, parts: int, most: int | None = None):
+        self.width, self.lead, self.parts = width, lead, parts
+        self.most = MOST_BYTES // (8 * (width + 2)) if most is None else most
         self.slots: dict[int, _Node] = {}
         self.rows: dict[int, int] = {}
 
@@ -253,13 +257,47 @@ class Trie:
 
 
 def runs_of(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Windows and counts as one sorted run per partition, column by column."""
+    """Windows and counts as sorted runs per partition (see ``pack``)."""
     order = np.lexsort((*rows[:, -2::-1].T, part))
     rows, part = rows[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
+    # a reader holds some thousand runs at once, so a run is small
+    step = max(RUN_BYTES // (8 * rows.shape[1]), 1)
     for start, end in zip([0, *cuts], [*cuts, len(part)], strict=True):
-        if start < end:
-            yield int(part[start]), int(end - start), np.ascontiguousarray(rows[start:end].T).tobytes()
+        for at in range(start, end, step):
+            some = rows[at : min(at + step, end)]
+            yield int(part[at]), len(some), pack(some)
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """A sorted run: its numbers of rows, of first words and of large counts; first words once each with
+    their lengths; the other words column by column; counts of one byte, those of 255 or more apart."""
+    at = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+    lengths = np.diff(np.append(at, len(rows))).astype(np.uint16)
+    counts = rows[:, -1]
+    large = counts[counts >= 255]
+    head = np.array([len(rows), len(at), len(large)], np.uint32)
+    pieces = [head, rows[at, 0], lengths, np.ascontiguousarray(rows[:, 1:-1].T), np.minimum(counts, 255).astype(np.uint8), large]
+    return b"".join(p.tobytes() for p in pieces)
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    n, heads, large = np.frombuffer(data, np.uint32, 3).tolist()
+    at = 12
+
+    def take(kind: type, size: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, size, at)
+        at += out.nbytes
+        return out
+
+    first, lengths = take(np.uint64, heads), take(np.uint16, heads)
+    rows = np.empty((n, width + 1), np.uint64)
+    rows[:, 0] = np.repeat(first, lengths)
+    rows[:, 1:-1] = take(np.uint64, n * (width - 1)).reshape(width - 1, n).T
+    rows[:, -1] = take(np.uint8, n)
+    rows[rows[:, -1] == 255, -1] = take(np.uint64, large)
+    return rows
 
 
 def _batch(runs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -267,10 +305,10 @@ def _batch(runs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(rows, pa.int64()), pa.array(data, pa.binary())], ["part", "rows", "run"])
 
 
-def _count(windows: Callable, width: int, lead: int, parts: int, most: int) -> Callable:
+def _count(windows: Callable, width: int, lead: int, parts: int, most: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(width, lead, parts, most)
-        for unit in units(batches):
+        for unit in units(batches, most=TEXT_BYTES):
             ids, left, _ = word_ids(unit)
             found = list(trie.add(windows(ids, left)))
             if found:
@@ -284,8 +322,7 @@ def _count(windows: Callable, width: int, lead: int, parts: int, most: int) -> C
 
 def _read(rows: pa.Table, width: int) -> np.ndarray:
     """Windows and counts of all runs."""
-    runs = [np.frombuffer(r, np.uint64).reshape(width + 1, -1) for r in rows.column("run").to_pylist()]
-    return np.concatenate(runs, axis=1).T
+    return np.concatenate([unpack(r, width) for r in rows.column("run").to_pylist()])
 
 
 def merged(rows: np.ndarray, lengths: range, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -329,7 +366,7 @@ def _resplit(width: int, lead: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, split, data in zip(*(batch.column(c).to_pylist() for c in ("part", "split", "run")), strict=True):
-                rows = np.frombuffer(data, np.uint64).reshape(width + 1, -1).T
+                rows = unpack(data, width)
                 salt = (mix(rows[:, lead]) % np.uint64(split)).astype(np.int64)
                 found = list(runs_of(rows, salt))
                 yield pa.RecordBatch.from_arrays(
@@ -340,7 +377,7 @@ def _resplit(width: int, lead: int) -> Callable:
     return run
 
 
-def count_grams(docs: DataFrame, windows: Callable, lengths: range, lead: int, n_words: int, least: int, part_rows: int = PART_ROWS, most: int = MOST_ROWS) -> DataFrame:
+def count_grams(docs: DataFrame, windows: Callable, lengths: range, lead: int, n_words: int, least: int, part_rows: int = PART_ROWS, most: int | None = None) -> DataFrame:
     """Stored (ids, c, key) of the word sequences of ``lengths`` that occur ``least`` times or more.
 
     ``windows`` gives the windows of a text's words. The runs of a window go to
@@ -350,10 +387,14 @@ def count_grams(docs: DataFrame, windows: Callable, lengths: range, lead: int, n
     """
     width = lengths.stop - 1
     parts = max(n_words // part_rows, 1)
-    runs = stored(docs.mapInArrow(_count(windows, width, lead, parts, most), _RUN), "runs")
-    hot = stored(runs.groupBy("part").agg(F.sum("rows").alias("n")).where(F.col("n") > 4 * part_rows), "hot-parts")
+    runs = docs.mapInArrow(_count(windows, width, lead, parts, most), _RUN)
     merge = _merge(width, lengths, least)
-    if width == lead or hot.isEmpty():
+    if width == lead:
+        # a sequence is one row per task, so no partition is hot
+        return stored(runs.select("part", "run", F.lit(False).alias("split")).groupBy("part").applyInArrow(merge, _GRAM), "grams")
+    runs = stored(runs, "runs")
+    hot = stored(runs.groupBy("part").agg(F.sum("rows").alias("n")).where(F.col("n") > 4 * part_rows), "hot-parts")
+    if hot.isEmpty():
         plain = runs.select("part", "run", F.lit(False).alias("split"))
         found = stored(plain.groupBy("part").applyInArrow(merge, _GRAM), "grams")
     else:
@@ -384,7 +425,7 @@ def _scored(grams: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, absorbed: int = ABSORBED, part_rows: int = PART_ROWS, most: int = MOST_ROWS
+    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, absorbed: int = ABSORBED, part_rows: int = PART_ROWS, most: int | None = None
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases per language of 2 to ``longest`` words.
 

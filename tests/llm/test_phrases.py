@@ -95,14 +95,19 @@ def test_trie_holds_its_bound():
     assert not trie.slots
     back = Counter()
     for part, n, data in runs:
-        rows = np.frombuffer(data, np.uint64).reshape(4, n).T
-        assert (trie.part(rows[:, :3]) == part).all()
+        rows = phrases.unpack(data, 3)
+        assert len(rows) == n and (trie.part(rows[:, :3]) == part).all()
         assert rows[:, :3].tolist() == sorted(rows[:, :3].tolist())
         for *words, c in rows.tolist():
             back[tuple(words)] += c
     assert back == total
 
 
+def test_runs_pack_large_counts():
+    rows = np.array([[1, 5, 3], [1, 6, 254], [1, 7, 255], [2, 2**63 + 1, 2**40], [9, 9, 1]], np.uint64)
+    assert phrases.unpack(phrases.pack(rows), 2).tolist() == rows.tolist()
+
+
 def test_bursting_container():
     rng = np.random.default_rng(1)
     node = phrases._Node(0, 2)
