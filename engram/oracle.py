@@ -284,6 +284,23 @@ ORACLE_SQL["update_metadata"] = (
     THEN '2025-01-01T00:00:00.000Z' ELSE {_iso("TIMESTAMP '2024-01-01 00:00:00' + to_seconds(s.seq)")} END AS updated_at
 FROM stored s JOIN verdict v USING (id)"""
 )
+ORACLE_SQL["versioned_writes"] = f"""
+WITH d AS (
+  SELECT doc_id, CAST(doc_id % 7 AS VARCHAR) AS user_id, {_normal('text')} AS t,
+    doc_id % 4 = 0 AND doc_id % 7 < 3 AND doc_id % 11 <> 0 AS changed FROM documents),
+v AS (
+  SELECT doc_id, user_id, changed, CASE WHEN changed THEN {_normal("t || ' v2 ' || doc_id")} ELSE t END AS t FROM d),
+codes AS (
+  SELECT *, list_reduce(list_transform(regexp_extract_all(t, '(?s).'), lambda c: CAST(unicode(c) AS BIGINT)),
+    lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) AS h FROM v),
+m AS (
+  SELECT *, CAST(round(CAST(CAST(sin(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)) * 0.5 + 0.5 AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS first
+  FROM codes)
+SELECT CAST(version AS INTEGER) AS version, user_id, count(*) AS n, count(*) FILTER (WHERE changed) AS n_updated,
+  count(*) FILTER (WHERE changed AND doc_id % 3 = 0) AS n_metadata,
+  CAST(sum(CAST('0x' || left(sha256(t), 8) AS BIGINT)) AS BIGINT) AS hash_sum, count(*) AS n_wide, CAST(sum(first) AS BIGINT) AS first_sum
+FROM m, range(1, 3) AS r(version)
+WHERE NOT (version = 2 AND user_id = '1' AND doc_id % 6 = 1) GROUP BY version, user_id"""
 ORACLE_SQL["update_fields"] = (
     _with(_MEM)
     + """, given AS (

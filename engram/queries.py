@@ -16,6 +16,7 @@ from engram.operators import billing, cells, forget, keys, paging, quality, rate
 from engram.session import new_dir
 from engram.sources import testdata as td
 from engram.sources.sinks import json_rows
+from engram.sources.versions import VersionedMemories
 from engram.sources.tables import billing_fields, stream_table
 from engram.streaming import pending as pending_stream
 from engram.streaming import ratelimit as rate_stream
@@ -294,6 +295,36 @@ def update_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("id", "content_hash", "metadata", tx.iso_millis(F.col("updated_at")).alias("updated_at"))
 
 
+def versioned_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as memories of 1,536 numbers; an update for three users, then a deletion for one: both versions by user."""
+    docs = tx.with_normalized(td.text_requests(spark, sf), "content", "content")
+    moment = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("seq"))
+    memories = docs.select(
+        F.col("seq").cast("string").alias("id"), "user_id", "namespace", "content", "metadata",
+        vec.mock_embedding(F.col("content")).alias("embedding"), tx.content_hash(F.col("content")).alias("content_hash"),
+        moment.alias("created_at"), moment.alias("updated_at"),
+    )
+    table = VersionedMemories(spark, new_dir(spark, "versions"))
+    table.create(memories, part_rows=200)
+    number = F.col("seq")
+    asked = docs.where((number % 4 == 0) & F.col("user_id").isin("0", "1", "2"))
+    changes = asked.select(
+        "seq", number.cast("string").alias("id"), F.when(number % 11 == 0, F.lit("nobody")).otherwise(F.col("user_id")).alias("user_id"),
+        F.concat("content", F.lit(" v2 "), number.cast("string")).alias("content"), F.when(number % 3 == 0, F.lit('{"v":2}')).alias("metadata"),
+    )
+    table.commit(changes, lambda rows: writes.update(rows, changes, AS_OF))
+    gone = docs.where((number % 6 == 1) & (F.col("user_id") == "1")).select("seq", number.cast("string").alias("id"), "user_id")
+    table.commit(gone, lambda rows: writes.forget(rows, gone))
+    both = table.read(1).withColumn("version", F.lit(1)).union(table.read(2).withColumn("version", F.lit(2)))
+    updated = F.col("updated_at") == F.lit(AS_OF).cast("timestamp")
+    return both.groupBy("version", "user_id").agg(
+        F.count("*").alias("n"), F.count_if(updated).alias("n_updated"), F.count_if(F.col("metadata") == '{"v":2}').alias("n_metadata"),
+        F.sum(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("bigint")).alias("hash_sum"),
+        F.count_if(vec.has_dimension(F.col("embedding"))).alias("n_wide"),
+        F.sum(F.round(F.col("embedding")[0].cast("double") * 1000).cast("bigint")).alias("first_sum"),
+    )
+
+
 def update_fields(spark: SparkSession, sf: str) -> DataFrame:
     memories = td.vector_memories(spark, sf)
     number = F.col("id").cast("bigint")
@@ -751,15 +782,19 @@ def confirm_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def billing_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The history in six deliveries in order of time, each a micro-batch of one stream."""
     out = new_dir(spark, "billing")
-    arrivals = _billing_arrivals(spark, sf)
-    arrivals.write.json(f"{out}/inbox")
+    arrivals = _billing_arrivals(spark, sf).withColumn("second", F.unix_timestamp("received_at"))
+    ends = [float("-inf"), *arrivals.approxQuantile("second", [i / 6 for i in range(1, 6)], 0.01), float("inf")]
     tables = stream_sinks.BillingTables(spark, f"{out}/tables")
     tables.begin(td.users(spark, sf))
-    stream = stream_table(spark, "stripe_events", f"{out}/inbox", "json")
-    query = stream_sinks.apply_billing(stream, tables, td.price_map(spark), AS_OF, f"{out}/checkpoint", once=True)
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
+    last = -1
+    for low, high in zip(ends, ends[1:]):
+        arrivals.where((F.col("second") > low) & (F.col("second") <= high)).drop("second").write.mode("append").json(f"{out}/inbox")
+        stream = stream_table(spark, "stripe_events", f"{out}/inbox", "json")
+        query = stream_sinks.apply_billing(stream, tables, td.price_map(spark), AS_OF, f"{out}/checkpoint", once=True)
+        query.awaitTermination()
+        last = query.lastProgress["batchId"] if query.lastProgress else last
     return tables.users(last).select("id", "tier", "stripe_customer_id")
 
 
@@ -769,7 +804,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recall_batch, recall_batch_blocks, recall_namespace_all, nearest_k, recall_metadata_filter, metadata_matches,
         recall_formatted, ann_recall, ann_quality, list_page, list_keyset, normalize_hash, dedupe_documents, mock_embedding,
         vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
-        update_content, update_metadata, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
+        update_content, update_metadata, versioned_writes, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
         tenant_rows,
         usage_summary, usage_rollup, usage_latency, usage_errors, usage_timeline, usage_by_key, usage_windows,

@@ -6,18 +6,24 @@ run again after a failure replaces its output instead of repeating it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from engram.operators.billing import fold
+from engram.operators.billing import CUSTOMER_CREATED, fold
 from engram.operators.usage import usage_windows
+from engram.plans.keyed_log import BUCKET_ROWS, KeyedLog, Run
 from engram.schemas import BILLING_EVENTS, USERS
+from engram.session import checkpoint, remove
+from engram.sources.tables import billing_fields
 
-_PROCESSED = T.StructType([*BILLING_EVENTS.fields, T.StructField("batch", T.IntegerType())])
+_BINDINGS = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("user_id", T.StringType())])
+_BASE_LEVEL = 100
 
 
 def batch_dir(path: str, batch_id: int) -> str:
@@ -83,34 +89,90 @@ def write_usage_windows(
 class BillingTables:
     """Users and processed events after each micro-batch, in the folders of one job.
 
-    Batch n reads what batch n - 1 left, so a retry of n starts from the same
-    state and no id is ever applied twice.
+    Users, the customer ids bound to them and the processed ids are keyed logs
+    (``plans/keyed_log.py``): a batch looks up the users its events name,
+    folds the events over those alone, and adds the changed rows as a run. The
+    manifest of a batch lists its live runs and is written last, so a batch
+    that was killed anywhere starts again from what the batch before left and
+    writes the same runs; no id is ever applied twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
         self.spark, self.path = spark, path
+        self.logs = {
+            "users": KeyedLog(spark, f"{path}/users", USERS, "id", ["id"], bucket_rows),
+            "bindings": KeyedLog(spark, f"{path}/bindings", _BINDINGS, "customer_id", ["customer_id", "user_id"], bucket_rows),
+            "processed": KeyedLog(spark, f"{path}/processed", BILLING_EVENTS, "id", ["id"], bucket_rows),
+        }
 
-    def _at(self, table: str, batch_id: int) -> str:
-        return f"{self.path}/{table}/batch={batch_id}"
+    def _manifest_dir(self, batch_id: int) -> str:
+        return f"{self.path}/manifests/batch={batch_id}"
+
+    def _commit(self, runs: dict[str, list[Run]], batch_id: int) -> None:
+        text = json.dumps({name: [vars(run) for run in live] for name, live in runs.items()})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self._manifest_dir(batch_id))
+
+    def runs(self, batch_id: int) -> dict[str, list[Run]]:
+        """The live runs of each log after a batch."""
+        text = self.spark.read.text(self._manifest_dir(batch_id)).first().value
+        return {name: [Run(**run) for run in live] for name, live in json.loads(text).items()}
 
     def begin(self, users: DataFrame) -> None:
-        users.select(*USERS.names).write.mode("overwrite").parquet(self._at("users", -1))
-        none = self.spark.createDataFrame([], BILLING_EVENTS)
-        none.write.mode("overwrite").parquet(self._at("processed", -1))
+        bound = users.where(F.col("stripe_customer_id").isNotNull()).select(F.col("stripe_customer_id").alias("customer_id"), F.col("id").alias("user_id"))
+        size = users.count()
+        # a base stands above the levels that merging a few batches reaches
+        base = {name: [self.logs[name].write(rows, "base", _BASE_LEVEL, size, -1)] for name, rows in (("users", users), ("bindings", bound))}
+        self._commit({**base, "processed": []}, -1)
 
     def users(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(USERS).parquet(self._at("users", batch_id))
+        return self.logs["users"].rows(self.runs(batch_id)["users"])
 
     def processed(self, before: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(_PROCESSED).parquet(f"{self.path}/processed")
-        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+        last = before - 1 if before is not None else self._last()
+        return self.logs["processed"].rows(self.runs(last)["processed"])
+
+    def _last(self) -> int:
+        return self.spark.read.text(f"{self.path}/manifests").select(F.max("batch")).first()[0]
+
+    def _concerned(self, runs: dict[str, list[Run]], events: DataFrame) -> DataFrame:
+        """The users that ``events`` name or whose customer ids they name."""
+        fields = billing_fields(F.col("payload"))
+        named = events.select("event_type", fields["customer_id"].alias("customer_id"), fields["app_user_id"].alias("app_user_id"))
+        binding = F.col("event_type") == CUSTOMER_CREATED
+        bound = self.logs["bindings"].lookup(runs["bindings"], named.where(~binding).select("customer_id"))
+        ids = bound.select(F.col("user_id").alias("id")).union(named.where(binding).select("app_user_id"))
+        return self.logs["users"].lookup(runs["users"], ids)
 
     def apply(self, events: DataFrame, batch_id: int, prices: DataFrame, as_of) -> None:
-        result = fold(self.users(batch_id - 1), self.processed(batch_id), events, prices, as_of)
-        result.users.write.mode("overwrite").parquet(self._at("users", batch_id))
-        result.rejects.write.mode("overwrite").parquet(self._at("rejects", batch_id))
+        runs = self.runs(batch_id - 1)
+        events = checkpoint(events)
+        before = checkpoint(self._concerned(runs, events))
+        held = self.logs["processed"].lookup(runs["processed"], events.select("id"))
+        result = fold(before, held, events, prices, as_of)
+        old = before.select("id", F.struct("tier", "stripe_customer_id").alias("old"))
+        changed = result.users.join(old, "id").where(~F.struct("tier", "stripe_customer_id").eqNullSafe(F.col("old"))).drop("old")
+        changed = checkpoint(changed)
+        bound = changed.where(F.col("stripe_customer_id").isNotNull()).select(F.col("stripe_customer_id").alias("customer_id"), F.col("id").alias("user_id"))
+        result.rejects.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
+        after = {
+            name: self.logs[name].append(runs[name], rows, batch_id)
+            for name, rows in (("users", changed), ("bindings", bound), ("processed", result.processed))
+        }
         # written last: until then the batch counts as not applied
-        result.processed.write.mode("overwrite").parquet(self._at("processed", batch_id))
+        self._commit(after, batch_id)
+        self._clean(batch_id)
+
+    def _clean(self, batch_id: int) -> None:
+        """Deletes the runs and the manifest that neither this batch nor a retry of it reads."""
+        if batch_id < 1:
+            return
+        kept = {(name, run) for at in (batch_id - 1, batch_id) for name, live in self.runs(at).items() for run in live}
+        try:
+            old = {(name, run) for name, live in self.runs(batch_id - 2).items() for run in live}
+        except AnalysisException:  # cleaned by an earlier try of this batch
+            return
+        gone = [self.logs[name].folder(run) for name, run in old - kept]
+        remove(self.spark, [*gone, self._manifest_dir(batch_id - 2)])
 
 
 def apply_billing(
