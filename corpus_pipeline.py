@@ -5,12 +5,17 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, linededup, pieces, simhash, toxicity
+from engram.llm import decontam, linededup, pieces, simhash, supermin, toxicity
 from engram.llm.common import table
-from engram.session import new_dir
+from engram.session import new_dir, remove
+
+# words of a shingle in the near-duplicate stage, where texts of a Jaccard similarity of 0.8 or more link
+SHINGLE_WORDS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near duplicates, then of texts with a five-word Jaccard of 0.8: that of the smallest doc_id."""
-    return simhash.keep_one(simhash.keep_one(docs), simhash.similar_texts)
+    return simhash.keep_one(simhash.keep_one(docs), partial(supermin.near_duplicates, words=SHINGLE_WORDS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +59,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, [before])
+        before = path
     return docs
