@@ -28,13 +28,6 @@ from engram.llm.graph import components
 WORDS = 3
 RADIUS = 2
 LEAF = 16_384
-# texts on word shingles: similar from here on
-SIMILAR_WORDS = 5
-SIMILAR = 0.8
-BANDS = 24
-BAND_ROWS = 4
-# texts of a group on each side of a tile
-TILE = 512
 # the top tree: at most this many leaves, from at most this many sampled fingerprints
 MAX_LEAVES = 4_096
 PER_LEAF = 16
@@ -281,80 +274,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, reach: int = RADIUS, le
     return rows.join(classes, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def _band_hashes(words: int):
-    seeds = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
-            texts = dict(zip(unit.column("key").to_pylist(), unit.column("text").to_pylist(), strict=True))
-            out = np.zeros((len(texts), BANDS), np.uint64)
-            for i, text in enumerate(texts.values()):
-                own = np.unique(np.array(shingle_hashes(text, words), np.uint64))
-                least = np.array([mix(own ^ s).min() for s in seeds]) if len(own) else seeds
-                rows = least.reshape(BANDS, BAND_ROWS)
-                band = np.arange(BANDS, dtype=np.uint64)
-                for r in range(BAND_ROWS):
-                    band = mix(band * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
-                out[i] = band
-            keys = np.repeat(np.array(list(texts), np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(keys)], ["g", "key"])
-
-    return run
-
-
-def _similarity(words: int):
-    @F.pandas_udf("double")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        sets: dict[str | None, np.ndarray] = {}
-        out = []
-        for pair in zip(left, right, strict=True):
-            for text in pair:
-                if text not in sets:
-                    sets[text] = np.unique(np.array(shingle_hashes(text, words), np.uint64))
-            a, b = (sets[text] for text in pair)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return run
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
-    """The ``pairs`` (a, b) of text keys whose texts are at least ``similar``."""
-    side = lambda c: texts.where("text is not null").select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")).dropDuplicates([c])
-    # a null text counts as the empty one, which has the same key
-    told = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return told.where(_similarity(words)("text_a", "text_b") >= similar).select("a", "b")
-
-
-def similar_texts(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, key, component_id) per row of ``docs``: links are texts whose sets of runs of ``words`` words have a
-    Jaccard similarity of at least ``similar``, computed in full.
-
-    Candidates share one of ``BANDS`` groups of ``BAND_ROWS`` min-hashes: at a
-    similarity of 0.8 about 3 pairs of a million share none, above it fewer.
-    Each text is compared with one text of its groups, and then every two of a
-    group that are in different components yet, large groups as grids of tiles.
-    ``component_id`` is that of ``near_duplicates``, as are odd rows.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
-    bands = stored(rows.select("text", "key").mapInArrow(_band_hashes(words), "g long, key long").distinct(), "bands")
-    heads = bands.groupBy("g").agg(F.min("key").alias("b"), F.max("key").alias("_most")).where("b < _most").select("g", "b")
-    first = stored(_similar(bands.join(heads, "g").where("key <> b").select(F.col("key").alias("a"), "b"), rows, words, similar), "similar")
-    labels = components(first)
-    marked = bands.join(heads.select("g"), "g").join(labels, F.col("key") == F.col("node"), "left").select("g", "key", F.coalesce("label", "key").alias("label"))
-    groups = marked.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    split = stored(marked.join(groups.select("g", F.ceil(F.col("n") / TILE).cast("int").alias("n")), "g"), "split-bands")
-    tile, across = F.expr("cast(pmod(key, n) as int)"), F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    one = split.select("g", tile.alias("i"), across.alias("j"), F.col("key").alias("a"), F.col("label").alias("la"))
-    two = split.select("g", across.alias("i"), tile.alias("j"), F.col("key").alias("b"), F.col("label").alias("lb"))
-    pairs = one.join(two, ["g", "i", "j"]).where("a > b and la <> lb").select("a", "b")
-    labels = components(first.union(_similar(pairs, rows, words, similar)))
-    of_row = rows.select("doc_id", "key").join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
-    named = of_row.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return of_row.join(named, "label").select("doc_id", "key", "component_id")
-
-
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate class: that of the smallest doc_id.
 
