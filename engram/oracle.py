@@ -187,6 +187,14 @@ SELECT doc_id, round(CAST(CAST(sin(h) * 0.5 + 0.5 AS FLOAT) AS DOUBLE), 4) AS v0
   round(list_sum(list_transform(range(1536), lambda i: CAST(CAST(sin(h + i) * 0.5 + 0.5 AS FLOAT) AS DOUBLE))), 3) AS total,
   round(list_sum(list_transform(range(1536), lambda i: CAST(CAST(sin(h + i) * 0.5 + 0.5 AS FLOAT) AS DOUBLE) * (i + 1)))
     / 1536, 3) AS weighted FROM hashed"""
+ORACLE_SQL["embed_once"] = """
+WITH d AS (SELECT doc_id, text, strlen(text) AS b, length(text) AS u FROM documents),
+runs AS (SELECT 1 AS run, * FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 2, * FROM d UNION ALL SELECT 3, * FROM d),
+firsts AS (SELECT run, count(*) AS n FROM (SELECT text, min(run) AS run FROM runs GROUP BY text) GROUP BY run)
+SELECT CAST(r.run AS INTEGER) AS run, coalesce(any_value(f.n), 0) AS n_embedded, count(*) FILTER (WHERE b % 50 <> 0) AS n_rows,
+  CAST(sum(b) FILTER (WHERE b % 50 <> 0) AS BIGINT) AS bytes, CAST(sum(u) FILTER (WHERE b % 50 <> 0) AS BIGINT) AS units,
+  count(*) FILTER (WHERE b % 50 = 0) AS n_rejected
+FROM runs r LEFT JOIN firsts f ON r.run = f.run GROUP BY r.run"""
 ORACLE_SQL["vector_text"] = "SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, 0.0::DOUBLE AS distance FROM embeddings"
 ORACLE_SQL["escape_text"] = """
 SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_hash FROM pages"""

@@ -88,15 +88,18 @@ class KeyedLog:
             parts.append((df.join(wanted, self.by, "left_semi"), run))
         return self._latest(parts)
 
-    def append(self, runs: list[Run], rows: DataFrame, batch_id: int) -> list[Run]:
-        """Runs after ``rows`` (unique) came as batch ``batch_id``; a batch that runs again writes the same runs."""
-        added = self.write(rows, f"{batch_id}-0", 0, None, batch_id)
+    def append(self, runs: list[Run], rows: DataFrame, batch_id: int, tag: str = "") -> list[Run]:
+        """Runs after ``rows`` (unique) came as batch ``batch_id``; a batch that runs again writes the same runs.
+
+        Writers that may meet tell their runs apart by a ``tag``.
+        """
+        added = self.write(rows, f"{batch_id}-0{tag}", 0, None, batch_id)
         out = [*runs, added] if added.rows else list(runs)
         level = 0
         while sum(run.level == level for run in out) >= FAN:
             small = [run for run in out if run.level == level]
             size = sum(run.rows for run in small)
-            merged = self.write(self.rows(small), f"{batch_id}-{level + 1}", level + 1, size, max(run.seq for run in small))
+            merged = self.write(self.rows(small), f"{batch_id}-{level + 1}{tag}", level + 1, size, max(run.seq for run in small))
             out = [run for run in out if run.level != level] + [merged]
             level += 1
         return out

@@ -16,6 +16,7 @@ from engram.operators import billing, cells, forget, keys, paging, quality, rate
 from engram.session import new_dir
 from engram.sources import testdata as td
 from engram.sources.sinks import json_rows
+from engram.sources.vector_store import VectorStore
 from engram.sources.versions import VersionedMemories
 from engram.sources.tables import billing_fields, stream_table
 from engram.streaming import pending as pending_stream
@@ -181,6 +182,28 @@ def mock_embedding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _byte_vectors(texts: list[str]) -> list[list[float]]:
+    """Four numbers per text; five, which is one too many, where its bytes number a multiple of 50."""
+    sizes = [len(t.encode()) for t in texts]
+    return [[float(n), float(n % 7), 1.0, float(len(t)), *([0.0] if n % 50 == 0 else [])] for t, n in zip(texts, sizes)]
+
+
+def embed_once(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of vectors filled by the documents of every second number, then by all, then by all again."""
+    store = VectorStore(spark, new_dir(spark, "vectors"), 4)
+    docs, before, out = _docs(spark, sf), 0, None
+    for run, wanted in enumerate(("doc_id % 2 = 0", "true", "true"), 1):
+        rows, rejects = store.embed(docs.where(wanted), _byte_vectors, "text")
+        held = store.rows().count()
+        sums = rows.agg(
+            F.count("embedding").alias("n_rows"), F.sum(F.col("embedding")[0]).cast("bigint").alias("bytes"), F.sum(F.col("embedding")[3]).cast("bigint").alias("units")
+        )
+        numbers = {"run": run, "n_embedded": held - before, "n_rejected": rejects.count()}
+        line = sums.select("*", *[F.lit(v).cast("int" if c == "run" else "bigint").alias(c) for c, v in numbers.items()])
+        out, before = line if out is None else out.union(line), held
+    return out
+
+
 def vector_text(spark: SparkSession, sf: str) -> DataFrame:
     rows = td.vector_memories(spark, sf).select("id", vec.vector_to_text(F.col("embedding")).alias("text"), "embedding")
     back = vec.vector_from_text(F.col("text"))
@@ -803,7 +826,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         recall_batch, recall_batch_blocks, recall_namespace_all, nearest_k, recall_metadata_filter, metadata_matches,
         recall_formatted, ann_recall, ann_quality, list_page, list_keyset, normalize_hash, dedupe_documents, mock_embedding,
-        vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
+        embed_once, vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
         update_content, update_metadata, versioned_writes, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
         tenant_rows,

@@ -9,7 +9,6 @@ that was killed leaves files that no version names.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 
 from engram.schemas import MEMORIES
 from engram.session import checkpoint, remove
+from engram.sources.manifests import Manifests, VersionConflict
 
 PART_ROWS = 200_000
 # a batch of users in at most this many partitions names them; a wider one reads all
@@ -27,43 +27,13 @@ MAX_LISTED = 10_000
 Change = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-class VersionConflict(RuntimeError):
-    """Another writer has made this version."""
-
-
 class VersionedMemories:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType = MEMORIES):
         self.spark, self.path, self.schema = spark, path, schema
-
-    # --- manifests
-
-    def _file(self, version: int):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{version:010d}.json")
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.manifests = Manifests(spark, path)
 
     def versions(self) -> list[int]:
-        at, fs = self._file(0)
-        if not fs.exists(at.getParent()):
-            return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(at.getParent()) if s.getPath().getName().endswith(".json"))
-
-    def _manifest(self, version: int) -> dict:
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifests/{version:010d}.json").collect()))
-
-    def _publish(self, version: int, manifest: dict) -> None:
-        at, fs = self._file(version)
-        # made beside its place and renamed, so no half a manifest is ever read
-        draft = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/drafts/{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        fs.mkdirs(at.getParent())
-        if fs.exists(at) or not fs.rename(draft, at):
-            fs.delete(draft, False)
-            raise VersionConflict(f"version {version} exists")
-
-    # --- rows
+        return self.manifests.versions()
 
     def _part(self, parts: int):
         return F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int").alias("part")
@@ -90,12 +60,12 @@ class VersionedMemories:
         while parts * part_rows < memories.count():
             parts *= 2
         run = uuid.uuid4().hex
-        self._publish(0, {"parts": parts, "runs": {str(p): run for p in self._write(memories, parts, run)}})
+        self.manifests.publish(0, {"parts": parts, "runs": {str(p): run for p in self._write(memories, parts, run)}})
         return 0
 
     def read(self, version: int | None = None, users: DataFrame | None = None) -> DataFrame:
         """The table of a version (default: the last), or the rows of the ``users`` (user_id) in it."""
-        manifest = self._manifest(self.versions()[-1] if version is None else version)
+        manifest = self.manifests.read(self.versions()[-1] if version is None else version)
         if users is None:
             return self._read(manifest, None)
         return self._read(manifest, self._touched(manifest, users)).join(users.select("user_id").distinct(), "user_id", "left_semi").select(*self.schema.names)
@@ -113,7 +83,7 @@ class VersionedMemories:
         Other partitions keep their files.
         """
         last = self.versions()[-1]
-        manifest = self._manifest(last)
+        manifest = self.manifests.read(last)
         touched = self._touched(manifest, users)
         before = self._read(manifest, touched)
         after, outcomes = change(before)
@@ -125,7 +95,7 @@ class VersionedMemories:
         outcomes = checkpoint(outcomes)
         kept = {p: r for p, r in manifest["runs"].items() if touched is not None and int(p) not in touched}
         try:
-            self._publish(last + 1, {"parts": manifest["parts"], "runs": {**kept, **{str(p): run for p in filled}}})
+            self.manifests.publish(last + 1, {"parts": manifest["parts"], "runs": {**kept, **{str(p): run for p in filled}}})
         except VersionConflict:
             remove(self.spark, [f"{self.path}/data/run={run}"])
             raise
@@ -134,9 +104,8 @@ class VersionedMemories:
     def vacuum(self, keep: int = 2) -> None:
         """Delete all but the last ``keep`` versions and the files that only they use. No writer may be at work."""
         versions = self.versions()
-        live = {run for v in versions[-keep:] for run in self._manifest(v)["runs"].values()}
-        at, fs = self._file(0)
-        data = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        live = {run for v in versions[-keep:] for run in self.manifests.read(v)["runs"].values()}
+        data, fs = self.manifests.open(f"{self.path}/data")
         runs = [s.getPath() for s in fs.listStatus(data)]
         remove(self.spark, [r.toString() for r in runs if r.getName()[4:] not in live])
-        remove(self.spark, [f"{self.path}/manifests/{v:010d}.json" for v in versions[:-keep]])
+        remove(self.spark, [self.manifests.name(v) for v in versions[:-keep]])
