@@ -169,6 +169,23 @@ ORACLE_SQL["list_keyset"] = (
 SELECT request_id, rank, id, has_more, CASE WHEN has_more AND rank = 4 THEN id END AS next_id
 FROM placed WHERE rank <= 4"""
 )
+ORACLE_SQL["list_deep"] = (
+    _with(_MEM)
+    + """, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, namespace ORDER BY created_at, id) AS c,
+    row_number() OVER (PARTITION BY user_id, namespace ORDER BY updated_at, id) AS u FROM mem),
+listed AS (
+  SELECT q.vec_id AS request_id, m.id, m.content, (CASE WHEN q.vec_id % 2 = 0 THEN m.c ELSE m.u END) - q.vec_id % 29 AS rank
+  FROM mem q JOIN numbered m USING (user_id, namespace)),
+walked AS (
+  SELECT q.vec_id AS request_id, m.id, m.content, row_number() OVER (PARTITION BY q.vec_id ORDER BY m.created_at DESC, m.id DESC) AS rank,
+    count(*) OVER (PARTITION BY q.vec_id) > 10 AS has_more
+  FROM mem q JOIN mem m ON m.user_id = q.user_id AND (q.vec_id % 2 = 0 OR m.namespace = q.namespace)
+    AND (q.vec_id % 3 = 0 OR m.created_at < q.created_at OR (m.created_at = q.created_at AND m.id < q.id)))
+SELECT 'offset' AS by, request_id, rank, id, content, NULL AS next_id FROM listed WHERE rank BETWEEN 1 AND 3
+UNION ALL
+SELECT 'cursor', request_id, rank, id, content, CASE WHEN has_more AND rank = 10 THEN id END FROM walked WHERE rank <= 10"""
+)
 _UNITS = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
 ORACLE_SQL["normalize_hash"] = f"""
 WITH t AS (SELECT doc_id, {_normal('text')} AS text FROM documents)

@@ -15,6 +15,7 @@ from engram.functions.tiers import Bucket
 from engram.operators import billing, cells, forget, keys, paging, quality, ratelimit, recall, tenancy, usage, writes
 from engram.session import new_dir
 from engram.sources import testdata as td
+from engram.sources.pages import PageDirectory
 from engram.sources.sinks import json_rows
 from engram.sources.vector_store import VectorStore
 from engram.sources.versions import VersionedMemories
@@ -150,6 +151,25 @@ def list_keyset(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("request_id", _big("rank"), "id", "has_more", "next_id")
 
 
+def list_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Offset pages and cursor pages from a page directory of small blocks."""
+    memories = td.vector_memories(spark, sf)
+    pages = PageDirectory(spark, new_dir(spark, "pages"))
+    pages.build(memories, block=8)
+    number = F.col("id").cast("bigint")
+    offsets = memories.select(
+        number.alias("request_id"), "user_id", "namespace", F.lit(3).alias("k"), (number % 29).alias("offset"),
+        F.when(number % 2 == 0, "created_at").otherwise("updated_at").alias("order"),
+    )
+    cursors = memories.select(
+        number.alias("request_id"), "user_id", F.when(number % 2 == 1, F.col("namespace")).alias("namespace"), F.lit(10).alias("k"),
+        F.when(number % 3 != 0, F.col("created_at")).alias("cursor_created_at"), F.when(number % 3 != 0, F.col("id")).alias("cursor_id"),
+    )
+    listed = pages.list_pages(offsets).select(F.lit("offset").alias("by"), "request_id", _big("rank"), "id", "content", F.lit(None).cast("string").alias("next_id"))
+    walked = pages.keyset_pages(cursors).select(F.lit("cursor").alias("by"), "request_id", _big("rank"), "id", "content", "next_id")
+    return listed.union(walked)
+
+
 # --- text and vectors ------------------------------------------------------
 
 
@@ -825,7 +845,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recall_batch, recall_batch_blocks, recall_namespace_all, nearest_k, recall_metadata_filter, metadata_matches,
-        recall_formatted, ann_recall, ann_quality, list_page, list_keyset, normalize_hash, dedupe_documents, mock_embedding,
+        recall_formatted, ann_recall, ann_quality, list_page, list_keyset, list_deep, normalize_hash, dedupe_documents, mock_embedding,
         embed_once, vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
         update_content, update_metadata, versioned_writes, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
