@@ -447,6 +447,18 @@ ORACLE_SQL["usage_windows"] = (
     + f""" SELECT user_id, {_iso("date_trunc('day', occurred_at)")} AS window_start, count(*) AS calls, count(*) AS tokens
 FROM use GROUP BY ALL"""
 )
+ORACLE_SQL["append_and_read"] = (
+    _with(_REQ)
+    + """ SELECT user_id, count(*) AS n, count(*) AS n_ids, count(DISTINCT content_hash) AS n_texts, count(*) AS n_wide, count(*) AS n_dated
+FROM req GROUP BY user_id"""
+)
+ORACLE_SQL["usage_windows_final"] = (
+    _with(_USE)
+    + f""" SELECT user_id, {_iso("date_trunc('day', occurred_at)")} AS window_start, count(*) AS calls, count(*) AS tokens
+FROM use GROUP BY ALL
+HAVING any_value(date_trunc('day', occurred_at)) + INTERVAL 1 DAY <= (SELECT max(occurred_at) - INTERVAL 10 MINUTE FROM use)"""
+)
+ORACLE_SQL["usage_dead_letters"] = _with(_USE) + " SELECT user_id, count(*) AS n, count(DISTINCT id) AS n_ids, 0::BIGINT AS replayed_again FROM use GROUP BY user_id"
 ORACLE_SQL["usage_windows_stream"] = ORACLE_SQL["usage_windows"]
 # Two tokens at most, two gained per day: 86,400,000 units per token, 2 units per millisecond.
 _BUCKET = """

@@ -13,13 +13,14 @@ from engram.functions.metadata import metadata_contains
 from engram.functions.redact import redact_df
 from engram.functions.tiers import Bucket
 from engram.operators import billing, cells, forget, keys, paging, quality, ratelimit, recall, tenancy, usage, writes
+from engram.schemas import USAGE_EVENTS
 from engram.session import new_dir
 from engram.sources import testdata as td
 from engram.sources.pages import PageDirectory
-from engram.sources.sinks import json_rows
+from engram.sources.sinks import append_memories, json_rows
 from engram.sources.vector_store import VectorStore
 from engram.sources.versions import VersionedMemories
-from engram.sources.tables import billing_fields, stream_table
+from engram.sources.tables import billing_fields, read_table, stream_table
 from engram.streaming import pending as pending_stream
 from engram.streaming import ratelimit as rate_stream
 from engram.streaming import sinks as stream_sinks
@@ -294,6 +295,20 @@ def remember_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _remember(spark, sf)[0].select("id", "user_id", "namespace", "content_hash", "metadata")
 
 
+def append_and_read(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents appended as two batches, the second delivered twice; read back by the table's schema, per user."""
+    out = new_dir(spark, "append")
+    docs = tx.with_normalized(td.text_requests(spark, sf), "content", "content")
+    rows = docs.withColumns({"embedding": vec.mock_embedding(F.col("content")), "content_hash": tx.content_hash(F.col("content"))})
+    for batch, wanted in (("a", "seq % 2 = 0"), ("b", "seq % 2 = 1"), ("b", "seq % 2 = 1")):
+        append_memories(rows.where(wanted), f"{out}/memories", batch, AS_OF)
+    back = read_table(spark, "memories", f"{out}/memories")
+    return back.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_distinct("content_hash").alias("n_texts"),
+        F.count_if(vec.has_dimension(F.col("embedding"))).alias("n_wide"), F.count_if(F.col("created_at") == F.lit(AS_OF).cast("timestamp")).alias("n_dated"),
+    )
+
+
 def find_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     asked = td.text_requests(spark, sf)
     asked = tx.with_normalized(asked, "content", "content")
@@ -805,6 +820,29 @@ def usage_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("window_start", tx.iso_millis(F.col("window_start")))
 
 
+def usage_windows_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows that the watermark has passed, appended once each; the others stay in state."""
+    out = new_dir(spark, "usage-windows")
+    events = td.usage_events(_Streamed(spark), sf)
+    stream_sinks.write_usage_windows(events, f"{out}/data", f"{out}/checkpoint", "1 day", once=True).awaitTermination()
+    rows = spark.read.schema("user_id string, window_start timestamp, calls long, tokens long").parquet(f"{out}/data")
+    return rows.select("user_id", tx.iso_millis(F.col("window_start")).alias("window_start"), "calls", "tokens")
+
+
+def usage_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage written while the table's path is blocked, kept aside, then replayed; a second replay finds nothing."""
+    out = new_dir(spark, "usage-letters")
+    # a file stands where the table's folder should be
+    spark.range(1).coalesce(1).write.parquet(f"{out}/blocked")
+    block = spark.read.parquet(f"{out}/blocked").inputFiles()[0]
+    events = td.usage_events(_Streamed(spark), sf)
+    stream_sinks.write_usage(events, f"{block}/usage", f"{out}/checkpoint", once=True, dead_letters=f"{out}/dead").awaitTermination()
+    first = stream_sinks.replay_usage(spark, f"{out}/dead", f"{out}/usage")
+    second = stream_sinks.replay_usage(spark, f"{out}/dead", f"{out}/usage")
+    rows = spark.read.schema(USAGE_EVENTS).parquet(*[f"{out}/usage/batch={b}" for b in first])
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids")).withColumn("replayed_again", F.lit(len(second)).cast("bigint"))
+
+
 def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = new_dir(spark, "rate-limit")
     decided = rate_stream.rate_limit_stream(td.rate_calls(_Streamed(spark), sf), TEST_BUCKETS)
@@ -846,7 +884,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         recall_batch, recall_batch_blocks, recall_namespace_all, nearest_k, recall_metadata_filter, metadata_matches,
         recall_formatted, ann_recall, ann_quality, list_page, list_keyset, list_deep, normalize_hash, dedupe_documents, mock_embedding,
-        embed_once, vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, find_by_hash,
+        embed_once, vector_text, escape_text, redact_log, redact_map, metadata_size, json_results, remember_quota, remember_rows, append_and_read, find_by_hash,
         update_content, update_metadata, versioned_writes, update_fields, update_fields_rows, forget_by_id, forget_survivors, forget_preview,
         forget_matches, forget_confirm, forget_confirm_survivors, delete_nearest, cascade_delete, tenant_split,
         tenant_rows,
@@ -855,6 +893,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         billing_processed, price_lookup, unprocessed_events, insert_once, subscription_messages, effective_tier,
         active_keys, all_keys, issue_keys, revoke_keys, rotate_keys, touch_keys, validate_remember,
         validate_recall, validate_list, validate_update, validate_forget, fk_audit, constraint_audit,
-        tenant_leak_audit, result_audit, usage_windows_stream, rate_limit_stream, confirm_stream, billing_stream,
+        tenant_leak_audit, result_audit, usage_windows_stream, usage_windows_final, usage_dead_letters, rate_limit_stream, confirm_stream, billing_stream,
     )
 }

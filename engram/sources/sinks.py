@@ -32,8 +32,9 @@ def new_memory_rows(rows: DataFrame, batch_id: str, as_of) -> DataFrame:
 
 
 def append_memories(rows: DataFrame, path: str, batch_id: str, as_of) -> DataFrame:
+    """Append a batch in a folder of its own: a batch that runs again replaces its rows."""
     complete = new_memory_rows(rows, batch_id, as_of)
-    complete.write.mode("append").parquet(path)
+    complete.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return complete.select("id")
 
 

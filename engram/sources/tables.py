@@ -10,7 +10,8 @@ from engram.schemas import BILLING_EVENTS, TABLES
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
     """Scan a model table; the schema is given, never inferred."""
-    return spark.read.schema(TABLES[name]).format(fmt).load(path)
+    # a table in folders of batches has their number as one more column
+    return spark.read.schema(TABLES[name]).format(fmt).load(path).select(*TABLES[name].names)
 
 
 def stream_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options) -> DataFrame:

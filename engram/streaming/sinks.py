@@ -18,8 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from engram.operators.billing import CUSTOMER_CREATED, fold
 from engram.operators.usage import usage_windows
 from engram.plans.keyed_log import BUCKET_ROWS, KeyedLog, Run
-from engram.schemas import BILLING_EVENTS, USERS
-from engram.session import checkpoint, remove
+from engram.schemas import BILLING_EVENTS, USAGE_EVENTS, USERS
+from engram.session import checkpoint, exists, remove
 from engram.sources.tables import billing_fields
 
 _BINDINGS = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("user_id", T.StringType())])
@@ -50,19 +50,42 @@ def write_usage(
     checkpoint_dir: str,
     on_error: Callable[[Exception], None] | None = None,
     once: bool = False,
+    dead_letters: str | None = None,
 ) -> StreamingQuery:
-    """Append usage events; a failed write is reported and the stream goes on."""
+    """Append usage events; a failed write is reported and the stream goes on.
+
+    With ``dead_letters`` the rows of a batch that could not be written are
+    kept there, in the batch's own folder, for ``replay_usage``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            batch.write.mode("overwrite").parquet(batch_dir(path, batch_id))
-        except Exception as error:
-            if on_error is not None:
-                on_error(error)
+        for target in (path, dead_letters):
+            if target is None:
+                continue
+            try:
+                return batch.write.mode("overwrite").parquet(batch_dir(target, batch_id))
+            except Exception as error:
+                if on_error is not None:
+                    on_error(error)
 
     return _start(events, write, checkpoint_dir, "append", once)
 
 
+def replay_usage(spark: SparkSession, dead_letters: str, path: str) -> list[int]:
+    """Move the batches of a dead-letter table to their table; the numbers of those moved.
+
+    A batch's folder is replaced, never added to, and its dead letters go
+    last, so a replay that was killed is run again without repeating a row.
+    """
+    schema = T.StructType([*USAGE_EVENTS.fields, T.StructField("batch", T.IntegerType())])
+    held = spark.read.schema(schema).parquet(dead_letters).select("batch").distinct().orderBy("batch").collect() if exists(spark, dead_letters) else []
+    for row in held:
+        source = batch_dir(dead_letters, row.batch)
+        spark.read.schema(USAGE_EVENTS).parquet(source).write.mode("overwrite").parquet(batch_dir(path, row.batch))
+        remove(spark, [source])
+    return [row.batch for row in held]
+
+
 def write_usage_windows(
     events: DataFrame,
     path: str,

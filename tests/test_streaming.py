@@ -81,6 +81,15 @@ def test_usage_sink(spark, tmp_path):
     query = sinks.write_usage(stream, str(tmp_path / "file" / "in"), str(tmp_path / "c2"), problems.append, once=True)
     query.awaitTermination()
     assert query.exception() is None and len(problems) == 1
+    # the same with a dead-letter table, replayed until the way is free
+    dead, late = str(tmp_path / "dead"), str(tmp_path / "late")
+    query = sinks.write_usage(stream, str(tmp_path / "file" / "in"), str(tmp_path / "c3"), problems.append, once=True, dead_letters=dead)
+    query.awaitTermination()
+    assert query.exception() is None and len(problems) == 2
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.replay_usage(spark, dead, str(tmp_path / "file" / "in"))
+    assert sinks.replay_usage(spark, dead, late) == [0] and sinks.replay_usage(spark, dead, late) == []
+    assert spark.read.parquet(late).count() == 1 and sinks.replay_usage(spark, str(tmp_path / "none"), late) == []
 
 
 def subscription(id_, kind, customer, price, at):
