@@ -102,6 +102,39 @@ def latency_sketch(events: DataFrame, by: str = "tool_name", accuracy: int = 10_
     return events.groupBy(by).agg(cut[0].alias("p50_ms"), cut[1].alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
 
 
+# width of the quantile sketches (rank error about 0.4 %) and log2 of the counters of the distinct counts (about 0.8 %)
+KLL_WIDTH, HLL_LOG = 800, 14
+
+
+def usage_states(events: DataFrame) -> DataFrame:
+    """Per day and tool: calls, tokens, failures, and mergeable sketches of latencies and users (A4, A5)."""
+    rows = events.withColumn("day", F.to_date("occurred_at"))
+    return rows.groupBy("day", "tool_name").agg(
+        F.count("*").alias("calls"),
+        F.sum("tokens_consumed").alias("tokens"),
+        F.count_if(~F.col("success")).alias("failures"),
+        F.max("latency_ms").alias("max_ms"),
+        F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), KLL_WIDTH).alias("latencies"),
+        F.hll_sketch_agg("user_id", HLL_LOG).alias("users"),
+    )
+
+
+def write_states(events: DataFrame, path: str) -> None:
+    """Store the states of the days that ``events`` covers whole; other days keep theirs, a day that comes again is replaced."""
+    usage_states(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def usage_between(states: DataFrame, since: str, until: str, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Usage per tool over the days from ``since`` to before ``until``, from states alone."""
+    days = states.where((F.col("day") >= F.lit(since).cast("date")) & (F.col("day") < F.lit(until).cast("date")))
+    merged = days.groupBy("tool_name").agg(
+        F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("failures").alias("failures"), F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_bigint("latencies", KLL_WIDTH).alias("latencies"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"),
+    )
+    cuts = [F.kll_sketch_get_quantile_bigint("latencies", F.lit(p)).alias(f"p{round(p * 100)}_ms") for p in points]
+    return merged.select("tool_name", "calls", "tokens", "failures", "max_ms", "users", *cuts)
+
+
 def usage_errors(events: DataFrame) -> DataFrame:
     """Failed calls per tool and error code."""
     return events.where(~F.col("success")).groupBy("tool_name", "error_code").agg(F.count("*").alias("n"))

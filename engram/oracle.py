@@ -452,6 +452,13 @@ ORACLE_SQL["append_and_read"] = (
     + """ SELECT user_id, count(*) AS n, count(*) AS n_ids, count(DISTINCT content_hash) AS n_texts, count(*) AS n_wide, count(*) AS n_dated
 FROM req GROUP BY user_id"""
 )
+ORACLE_SQL["usage_sketches"] = (
+    _with(_USE)
+    + """, days AS (SELECT CAST(min(occurred_at) AS DATE) + 3 AS since, CAST(max(occurred_at) AS DATE) - 3 AS until FROM use)
+SELECT tool_name, count(*) AS calls, count(*) AS tokens, count(*) FILTER (WHERE NOT success) AS failures, max(latency_ms) AS max_ms,
+  TRUE AS p50_within_1_percent, TRUE AS p95_within_1_percent, TRUE AS users_within_5_percent
+FROM use, days WHERE occurred_at >= since AND occurred_at < until GROUP BY tool_name"""
+)
 ORACLE_SQL["usage_windows_final"] = (
     _with(_USE)
     + f""" SELECT user_id, {_iso("date_trunc('day', occurred_at)")} AS window_start, count(*) AS calls, count(*) AS tokens

@@ -820,6 +820,24 @@ def usage_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("window_start", tx.iso_millis(F.col("window_start")))
 
 
+def usage_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of days from stored sketches, each estimate judged by its true rank or number."""
+    out, events = new_dir(spark, "usage-states"), td.usage_events(spark, sf)
+    usage.write_states(events, out)
+    days = events.select(F.to_date("occurred_at").alias("day"))
+    since, until = days.select(F.date_add(F.min("day"), 3).cast("string"), F.date_sub(F.max("day"), 3).cast("string")).first()
+    found = usage.usage_between(spark.read.parquet(out), since, until)
+    inside = events.where((F.col("occurred_at") >= since) & (F.col("occurred_at") < until)).select("tool_name", "latency_ms", "user_id")
+    near = []
+    for point in (50, 95):
+        low, high = F.count_if(F.col("latency_ms") < F.col(f"p{point}_ms")), F.count_if(F.col("latency_ms") <= F.col(f"p{point}_ms"))
+        near.append(((low * 100 <= (point + 1) * F.count("*")) & (high * 100 >= (point - 1) * F.count("*"))).alias(f"p{point}_within_1_percent"))
+    people = F.count_distinct("user_id")
+    near.append((F.abs(F.first("users") - people) * 20 <= people).alias("users_within_5_percent"))
+    judged = inside.join(found.select("tool_name", "p50_ms", "p95_ms", "users"), "tool_name").groupBy("tool_name").agg(*near)
+    return found.join(judged, "tool_name").select("tool_name", "calls", "tokens", "failures", _big("max_ms"), *[c for c in judged.columns if "within" in c])
+
+
 def usage_windows_final(spark: SparkSession, sf: str) -> DataFrame:
     """The windows that the watermark has passed, appended once each; the others stay in state."""
     out = new_dir(spark, "usage-windows")
@@ -893,6 +911,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         billing_processed, price_lookup, unprocessed_events, insert_once, subscription_messages, effective_tier,
         active_keys, all_keys, issue_keys, revoke_keys, rotate_keys, touch_keys, validate_remember,
         validate_recall, validate_list, validate_update, validate_forget, fk_audit, constraint_audit,
-        tenant_leak_audit, result_audit, usage_windows_stream, usage_windows_final, usage_dead_letters, rate_limit_stream, confirm_stream, billing_stream,
+        tenant_leak_audit, result_audit, usage_windows_stream, usage_windows_final, usage_dead_letters, usage_sketches, rate_limit_stream, confirm_stream, billing_stream,
     )
 }
