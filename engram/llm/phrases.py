@@ -34,8 +34,8 @@ ABSORBED = 100
 # distinct words a task holds before it passes their counts on
 MOST_WORDS = 100_000
 # bytes of a task's trie before it spills, rows of a container before it bursts, windows per prefix partition
-MOST_BYTES, BURST, PART_ROWS = 64 << 20, 1 << 15, 1_000_000
-RUN_BYTES = 1 << 15
+MOST_BYTES, BURST, PART_ROWS = 40 << 20, 1 << 15, 1_000_000
+RUN_BYTES = 1 << 14
 # bytes of text a task works on at a time
 TEXT_BYTES = 1 << 20
 SLOTS = 64
