@@ -396,6 +396,13 @@ ORACLE_SQL["forget_confirm_survivors"] = _CONFIRM + " SELECT id FROM mem WHERE i
 ORACLE_SQL["confirm_stream"] = (
     _CONFIRM + " SELECT seq, CASE WHEN message IS NULL THEN 'deleted' ELSE 'rejected' END AS status, message FROM tries"
 )
+ORACLE_SQL["confirm_timers"] = (
+    _CONFIRM
+    + """, ids AS (SELECT request_id, string_agg(id, ',' ORDER BY id) AS memory_ids FROM best GROUP BY request_id)
+SELECT t.seq, CASE WHEN message IS NULL THEN 'deleted' ELSE 'rejected' END AS status,
+  CASE WHEN message IS NULL THEN i.memory_ids END AS memory_ids, 0::BIGINT AS held_at_end
+FROM tries t LEFT JOIN ids i USING (request_id)"""
+)
 ORACLE_SQL["delete_nearest"] = (
     _with(_MEM, _Q, _pairs("q", _SAME, "-2", "2")) + " SELECT request_id, rank, id FROM best"
 )

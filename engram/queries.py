@@ -880,6 +880,21 @@ def confirm_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data").select("seq", "status", "message")
 
 
+def confirm_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tries on the clock of the events, with the ids to delete; at the end no token is left in the state."""
+    out = new_dir(spark, "confirms")
+    summaries, _, pending = _preview(spark, sf)
+    previews = pending.withColumn("at", F.lit(AS_OF).cast("timestamp"))
+    events = pending_stream.token_events(previews, _confirms(summaries))
+    events.write.parquet(f"{out}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{out}/events")
+    query = stream_sinks.write_table(pending_stream.confirm_by_event_time(stream), f"{out}/data", f"{out}/checkpoint", once=True)
+    query.awaitTermination()
+    held = max((op["numRowsTotal"] for op in query.lastProgress["stateOperators"]), default=0) if query.lastProgress else 0
+    rows = spark.read.parquet(f"{out}/data")
+    return rows.select("seq", "status", F.array_join(F.array_sort("memory_ids"), ",").alias("memory_ids"), F.lit(held).cast("bigint").alias("held_at_end"))
+
+
 def billing_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The history in six deliveries in order of time, each a micro-batch of one stream."""
     out = new_dir(spark, "billing")
@@ -911,6 +926,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         billing_processed, price_lookup, unprocessed_events, insert_once, subscription_messages, effective_tier,
         active_keys, all_keys, issue_keys, revoke_keys, rotate_keys, touch_keys, validate_remember,
         validate_recall, validate_list, validate_update, validate_forget, fk_audit, constraint_audit,
-        tenant_leak_audit, result_audit, usage_windows_stream, usage_windows_final, usage_dead_letters, usage_sketches, rate_limit_stream, confirm_stream, billing_stream,
+        tenant_leak_audit, result_audit, usage_windows_stream, usage_windows_final, usage_dead_letters, usage_sketches, rate_limit_stream, confirm_stream, confirm_timers, billing_stream,
     )
 }

@@ -29,10 +29,12 @@ def token_events(previews: DataFrame, confirms: DataFrame) -> DataFrame:
 
 
 class _TokenProcessor(StatefulProcessor):
-    def __init__(self, ttl_seconds: int | None):
+    def __init__(self, ttl_seconds: int | None, timers: bool = False):
         self.ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
+        self.timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         schema = "user_id string, expires_at bigint, memory_ids array<string>"
         self.pending = handle.getValueState("pending", schema, self.ttl_ms)
 
@@ -58,13 +60,34 @@ class _TokenProcessor(StatefulProcessor):
             self.pending.clear()
         else:
             self.pending.update(held)
+            if self.timers:
+                self.handle.registerTimer(-(-held[1] // 1000))
         columns = ["token", "seq", "user_id", "status", "message", "memory_ids"]
         yield pd.DataFrame(out, columns=columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a token that was previewed again later expires later
+        if self.pending.exists() and self.pending.get()[1] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.pending.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
 
+def confirm_by_event_time(events: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """As ``confirm_stream``, on the clock of the events themselves.
+
+    A token leaves the state once the watermark, the latest time seen less
+    ``lateness``, has passed its expiry; a replay of old events frees its state
+    like a live stream and ends. Rows older than the watermark are dropped.
+    """
+    timed = events.withColumn("moment", F.timestamp_micros("at")).withWatermark("moment", lateness)
+    return timed.groupBy("token").transformWithStateInPandas(
+        statefulProcessor=_TokenProcessor(None, timers=True), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def confirm_stream(events: DataFrame, live: bool = True) -> DataFrame:
     """Consume tokens on a stream; an accepted row carries the ids to delete.
 

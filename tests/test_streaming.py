@@ -232,3 +232,25 @@ def test_billing_batch_reads_only_its_buckets(spark, tmp_path):
     # a batch writes what its own events change
     tables.apply(events, 0, spark.createDataFrame([("p", "pro")], "price_id string, tier string"), AS_OF)
     assert {name: [run.rows for run in live if run.seq == 0] for name, live in tables.runs(0).items()} == {"users": [1], "bindings": [1], "processed": [1]}
+
+
+def test_event_time_frees_tokens_without_confirms(spark, tmp_path):
+    def at(seconds):
+        return START + datetime.timedelta(seconds=seconds)
+
+    previews = spark.createDataFrame(
+        [(f"t{i}", "u", ["a"], at(i), at(i + 60)) for i in range(20)], "token string, user_id string, memory_ids array<string>, at timestamp, expires_at timestamp"
+    )
+    confirms = spark.createDataFrame([("t3", "u", 1, at(30)), ("t4", "u", 2, at(500))], "token string, user_id string, seq bigint, at timestamp")
+    events, src, out = pending.token_events(previews, confirms), str(tmp_path / "in"), str(tmp_path / "out")
+    held = []
+    for wanted in ("expires_at is not null", "seq = 1", "seq = 2"):
+        events.where(wanted).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.schema).parquet(src)
+        query = sinks.write_table(pending.confirm_by_event_time(stream), out, str(tmp_path / "ckpt"), once=True)
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    rows = {r.seq: (r.status, r.memory_ids) for r in spark.read.parquet(out).collect()}
+    assert rows == {1: ("deleted", ["a"]), 2: ("rejected", None)}
+    # all are held until the last event moves the clock past every expiry
+    assert held[0] >= 20 and held[-1] == 0
