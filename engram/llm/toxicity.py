@@ -67,6 +67,10 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
+# entries of the matrix multiplied at a time
+_STEP = 1 << 18
+
+
 class _Rows:
     """A sparse matrix by rows, with the two products the fit needs."""
 
@@ -76,19 +80,30 @@ class _Rows:
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.col = np.concatenate([*index, np.zeros(0, np.int32)])
         self.val = np.concatenate([*value, np.zeros(0, np.float32)])
-        rms = np.sqrt(np.bincount(self.col, self.val**2, width) / max(1, self.rows))
+        squares = np.zeros(width)
+        for at in range(0, len(self.val), _STEP):
+            squares += np.bincount(self.col[at : at + _STEP], self.val[at : at + _STEP] ** 2, width)
+        rms = np.sqrt(squares / max(1, self.rows))
         self.scale = np.where(rms > 0, 1 / np.maximum(rms, 1e-12), 0.0)
-        self.val *= self.scale[self.col].astype(np.float32)
+        self.val *= self.scale.astype(np.float32)[self.col]
 
     def only(self, cols: np.ndarray) -> None:
         keep = np.isin(self.col, cols)
         self.row, self.col, self.val = self.row[keep], self.col[keep], self.val[keep]
 
+    def _product(self, to: np.ndarray, by: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+        """Sums of entries times ``x[by]`` per ``to``, some entries at a time to keep the driver small."""
+        out = np.zeros(size)
+        for at in range(0, len(self.val), _STEP):
+            some = slice(at, at + _STEP)
+            out += np.bincount(to[some], self.val[some] * x[by[some]], size)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.rows)
+        return self._product(self.row, self.col, w, self.rows)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], self.width)
+        return self._product(self.col, self.row, g, self.width)
 
     def steepest(self) -> float:
         v = np.random.default_rng(0).standard_normal(self.width)
@@ -138,6 +153,9 @@ def fit_rows(index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray
     if len(grade) == 0 or len(names) == 0 or len(np.unique(grade)) < 2:
         return Model(np.full(grades - 1, np.inf))
     x = _Rows(index, value, len(names))
+    # the rows are in ``x`` now; the driver does not keep them twice
+    index.clear()
+    value.clear()
     share_high = np.clip((grade > 0).mean(), 1 / len(grade), 1 - 1 / len(grade))
     chance = np.sqrt(2 * np.log(max(2, len(names))) / len(grade) * share_high * (1 - share_high))
     picked = np.flatnonzero(_descend(x, grade, cuts, PICK * chance, 0.0, 150)[0])
@@ -185,7 +203,7 @@ def fit(docs: DataFrame, grades: DataFrame, top: int, rows: int = SAMPLE_ROWS) -
     # words of one row in two tell little and make most of the entries
     usual = F.col("n").between(MIN_ROWS, MOST_ROWS * sample.count())
     by_word = sample.mapInArrow(_counts(None), "word string").groupBy("word").agg(F.count("*").alias("n")).where(usual)
-    names = sorted(r["word"] for r in by_word.orderBy(F.col("n").desc(), "word").limit(MAX_WORDS).collect())
+    names = sorted(by_word.orderBy(F.col("n").desc(), "word").limit(MAX_WORDS).select("word").toArrow()["word"].to_pylist())
     packed = sample.mapInArrow(_counts({w: i for i, w in enumerate(names)}), "doc_id long, grade int, index binary, value binary").collect()
     packed.sort(key=lambda r: r["doc_id"])
     index = [np.frombuffer(r["index"], np.int32) for r in packed]
