@@ -32,8 +32,9 @@ BANDS, BAND_ROWS = 24, 4
 SIZE = BANDS * BAND_ROWS
 # nodes with fewer equal slots are not compared in full: five deviations below what 80 % of equal shingles give
 AGREE = 57
-# nodes and shingles on a side of a tile
-TILE, TILE_SHINGLES = 1_000, 1_000_000
+# nodes and shingles on a side of a tile; rows of a tile whose pairs are looked at together
+TILE, TILE_SHINGLES = 2_000, 1_000_000
+OWNED_ROWS = 500
 # rows that one task compares by signature, shingles that one task compares in full
 TASK_ROWS, TASK_SHINGLES = 20_000, 2_000_000
 HOT_PAIRS = 20_000
@@ -43,6 +44,7 @@ TEXT_BYTES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 _NOBODY = 2**63 - 1
+_SEAT = "cell long, band int, node long, label long, n long, guest boolean, roams boolean, sig binary, bands array<long>"
 _PRINT = "doc_id long, key long, n long, k1 long, k2 long, bands array<long>, sig binary"
 
 
@@ -207,19 +209,22 @@ def _owned(home: dict, guest: dict, band: int, percent: int) -> tuple[np.ndarray
 
     They have different labels, enough equal slots, and meet in no earlier band.
     """
-    differ = home["label"][:, None] != guest["label"][None, :]
-    # two guests' labels meet in two tiles: the one of the smaller node counts
-    differ &= ~home["roams"][:, None] | (home["node"][:, None] < guest["node"][None, :])
-    na, nb = home["n"][:, None], guest["n"][None, :]
-    differ &= (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
-    i, j = np.nonzero(differ)
     found = []
-    for at in range(0, len(i), 50_000):
-        p, q = i[at : at + 50_000], j[at : at + 50_000]
-        same = (home["sig"][p] == guest["sig"][q]).sum(axis=1)
-        p, q, same = p[same >= AGREE], q[same >= AGREE], same[same >= AGREE]
-        late = ~(home["bands"][p, :band] == guest["bands"][q, :band]).any(axis=1)
-        found.append(np.stack([p[late], q[late], same[late]]))
+    for low in range(0, len(home["node"]), OWNED_ROWS):
+        part = {c: home[c][low : low + OWNED_ROWS] for c in ("label", "roams", "node", "n")}
+        differ = part["label"][:, None] != guest["label"][None, :]
+        # two guests' labels meet in two tiles: the one of the smaller node counts
+        differ &= ~part["roams"][:, None] | (part["node"][:, None] < guest["node"][None, :])
+        na, nb = part["n"][:, None], guest["n"][None, :]
+        differ &= (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+        i, j = np.nonzero(differ)
+        i += low
+        for at in range(0, len(i), 50_000):
+            p, q = i[at : at + 50_000], j[at : at + 50_000]
+            same = (home["sig"][p] == guest["sig"][q]).sum(axis=1)
+            p, q, same = p[same >= AGREE], q[same >= AGREE], same[same >= AGREE]
+            late = ~(home["bands"][p, :band] == guest["bands"][q, :band]).any(axis=1)
+            found.append(np.stack([p[late], q[late], same[late]]))
     p, q, same = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     order = np.argsort(-same, kind="stable")
     return p[order], q[order]
@@ -231,6 +236,7 @@ def _tiles(rows: pa.Table) -> Iterator[tuple[int, dict, dict, int]]:
     order = np.argsort(column("cell"), kind="stable")
     data = {c: column(c) for c in ("cell", "band", "node", "label", "n", "guest", "roams")}
     data["guest"], data["roams"] = data["guest"].astype(bool), data["roams"].astype(bool)
+    data["at"] = np.arange(len(order))
     data["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(order), SIZE)
     data["bands"] = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(order), BANDS)
     shingles = _views(rows.column("shingles")) if "shingles" in rows.column_names else None
@@ -245,18 +251,14 @@ def _tiles(rows: pa.Table) -> Iterator[tuple[int, dict, dict, int]]:
 
 
 def _meetings(percent: int):
-    """Rows (cell, node, guest) that are in a pair which the tile decides."""
+    """The rows that are in a pair which their tile decides."""
 
     def run(rows: pa.Table) -> pa.Table:
-        out = {"cell": [], "node": [], "guest": []}
-        for cell, home, guest, band in _tiles(rows):
+        kept = [np.zeros(0, np.int64)]
+        for _, home, guest, band in _tiles(rows):
             p, q = _owned(home, guest, band, percent)
-            for side, flag, at in ((home, False, p), (guest, True, q)):
-                nodes = side["node"][np.unique(at)].tolist()
-                out["node"] += nodes
-                out["cell"] += [cell] * len(nodes)
-                out["guest"] += [flag] * len(nodes)
-        return pa.table({"cell": pa.array(out["cell"], pa.int64()), "node": pa.array(out["node"], pa.int64()), "guest": pa.array(out["guest"], pa.bool_())})
+            kept += [home["at"][np.unique(p)], guest["at"][np.unique(q)]]
+        return rows.take(pa.array(np.concatenate(kept))).select([c.split()[0] for c in _SEAT.split(", ")])
 
     return run
 
@@ -307,23 +309,24 @@ def _rest(rows: DataFrame, nodes: DataFrame, bands: DataFrame, labels: DataFrame
         grid(F.col("rows") - F.col("bulk.c"), F.col("size") - F.col("bulk.s")).alias("wide"),
     )
     open_rows = stored(marked.join(mixed, "key").withColumn("roams", F.col("label") != F.col("most")), "open-buckets")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    base = ["key", "band", "node", "n", "label", "roams"]
-    home = open_rows.select(*base, F.lit(False).alias("guest"), spot("high").alias("i"), each("wide").alias("j"))
-    guest = open_rows.where("roams").select(*base, F.lit(True).alias("guest"), each("high").alias("i"), spot("wide").alias("j"))
-    cells = home.union(guest).select("band", "node", "n", "label", "roams", "guest", F.xxhash64("key", "i", "j").alias("cell"))
-    n_cells = cells.count()
-    if n_cells == 0:
+    n_cells = open_rows.agg(F.sum(F.col("wide") + F.when(F.col("roams"), F.col("high")).otherwise(0))).first()[0]
+    if not n_cells:
         discard(open_rows)
         return rows.sparkSession.createDataFrame([], "a long, b long")
-    seen = cells.join(nodes.select("node", "sig", "bands"), "node")
-    tasks = max(-(-n_cells // TASK_ROWS), 1)
-    task = F.pmod("cell", F.lit(tasks)).cast("int").alias("task")
-    met = stored(seen.groupBy(task).applyInArrow(_meetings(percent), "cell long, node long, guest boolean"), "met")
+    # signatures are looked up once per bucket and node, before a row is seated in all its tiles
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    seat = lambda guest, i, j: F.struct(F.lit(guest).alias("guest"), i.alias("i"), j.alias("j"))
+    home = F.transform(each("wide"), lambda j: seat(False, spot("high"), j))
+    guest = F.when(F.col("roams"), F.transform(each("high"), lambda i: seat(True, i, spot("wide"))))
+    seats = F.explode(F.concat(home, F.coalesce(guest, F.array().cast("array<struct<guest:boolean,i:int,j:int>>")))).alias("seat")
+    seated = open_rows.join(nodes.select("node", "sig", "bands"), "node").select("*", seats)
+    seen = seated.select(F.xxhash64("key", "seat.i", "seat.j").alias("cell"), "band", "node", "label", "n", "seat.guest", "roams", "sig", "bands")
+    task = F.pmod("cell", F.lit(max(-(-n_cells // TASK_ROWS), 1))).cast("int").alias("task")
+    met = stored(seen.groupBy(task).applyInArrow(_meetings(percent), _SEAT), "met")
     sets = _sets(rows, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "source_id", "source_key"), words)
-    size = met.join(sets.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
-    again = cells.join(met, ["cell", "node", "guest"], "left_semi").join(nodes.select("node", "sig", "bands"), "node").join(sets.select("node", "shingles"), "node")
+    size = met.agg(F.sum("n")).first()[0] or 0
+    again = met.join(sets.select("node", "shingles"), "node")
     task = F.pmod("cell", F.lit(max(-(-size // TASK_SHINGLES), 1))).cast("int").alias("task")
     found = stored(again.groupBy(task).applyInArrow(_joined(percent), "a long, b long"), "tile-links")
     discard(open_rows, met, sets)

@@ -145,3 +145,18 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in entry.queries()["op12_supermin_dedup"](spark, sf).collect())
     assert got == brute(rows)
+
+
+def test_signatures_and_sets_are_joined_once(spark, monkeypatch):
+    """A row of a bucket takes up its signature before it is seated in its tiles, and what has met keeps it."""
+    joins, write = {}, supermin.stored
+
+    def spy(df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return write(df, name)
+
+    monkeypatch.setattr(supermin, "stored", spy)
+    rows = list(enumerate(family(random.Random(8), 120, 40, range(1, 8))))
+    wanted = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == wanted
+    assert joins["met"] == 1 and joins["tile-links"] == 1
