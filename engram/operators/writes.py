@@ -19,6 +19,11 @@ from engram.plans.skew import hot_keys, salted_lookup
 from engram.schemas import DEFAULT_NAMESPACE, EMBEDDING_DIM, FREE_MEMORY_QUOTA
 from engram.session import checkpoint
 
+# arrivals that one task takes; up to this many parts a shuffle writes without gathering its rows in memory
+PART_ROWS, MOST_PARTS = 50_000, 200
+# arrivals whose ids may be broadcast
+FEW_ROWS = 200_000
+
 Embed = Callable[[DataFrame], DataFrame]
 
 _KEY = ["user_id", "namespace", "content_hash"]
@@ -280,10 +285,16 @@ def insert_once(table: DataFrame, arrivals: DataFrame, key: str = "id", order: s
     """Arrivals whose id the table does not hold yet, the first delivery of each.
 
     The long table is first cut to the ids that arrive, which needs no shuffle
-    of it while the arrivals are few.
+    of it while the arrivals are few. The arrivals are dealt by id into parts
+    of a bounded number of rows (more rows in each beyond ``MOST_PARTS``
+    parts) before anything sorts them: no task sorts a whole piece of the input.
     """
-    held = table.select(key).join(arrivals.select(key), key, "left_semi")
-    fresh = arrivals.join(held, key, "left_anti")
+    n = arrivals.count()
+    dealt = arrivals.repartition(min(MOST_PARTS, max(1, -(-n // PART_ROWS))), key)
+    # ids look small in files; many of them must not be a table that every task holds
+    few = lambda ids: ids if n <= FEW_ROWS else ids.hint("merge")
+    held = table.select(key).join(few(dealt.select(key).distinct()), key, "left_semi")
+    fresh = dealt.join(few(held), key, "left_anti")
     # deliveries of the same moment are told apart by their content, so a re-run picks the same one
     first = fresh.groupBy(key).agg(
         F.min_by(F.struct(*arrivals.columns), F.struct(order, F.xxhash64(*arrivals.columns))).alias("row")

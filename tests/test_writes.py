@@ -279,3 +279,20 @@ def test_insert_once_ties_do_not_depend_on_the_order(spark):
     none = spark.createDataFrame([], schema)
     once = lambda part: sorted(map(tuple, writes.insert_once(none, spark.createDataFrame(part, schema).repartition(4)).collect()))
     assert once(rows) == once(rows[::-1]) and len(once(rows)) == 5
+
+
+def test_insert_once_sorts_in_bounded_parts(spark, monkeypatch):
+    """Arrivals are dealt by id first, also those without one; no aggregate sorts a piece of the input as it was read."""
+    monkeypatch.setattr(writes, "PART_ROWS", 100)
+    schema = "id int, received_at string, payload string"
+    rows = [(i % 400 if i % 50 else None, f"2024-01-{1 + i % 28:02d}", f"payload {i}") for i in range(1_000)]
+    held = [(i, "2023-01-01", "held") for i in range(0, 400, 3)]
+    arrivals, table = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(held, schema)
+    got = writes.insert_once(table, arrivals)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 10" in plan.split("RepartitionByExpression")[1].split("\n")[0]
+    wanted = {}
+    for i, at, text in rows:
+        if i is None or i % 3:
+            wanted[i] = min(wanted.get(i, at), at)
+    assert {r.id: r.received_at for r in got.collect()} == wanted
