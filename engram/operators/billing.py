@@ -62,10 +62,12 @@ def fold(
     subscription = priced.select("n", "id", "customer_id", tier.alias("tier")).where(
         F.col("tier").isNotNull() & F.col("customer_id").isNotNull()
     )
+    # narrow, and read by several steps below
+    subscription = checkpoint(subscription)
     # only bindings are joined to users, so the many events without a user id never meet on a null key
     binding = (F.col("event_type") == CUSTOMER_CREATED) & (F.col("app_user_id") != "")
     known = users.select(F.col("id").alias("app_user_id"), F.lit(True).alias("known"))
-    bindings = ordered.where(binding).join(known, "app_user_id", "left")
+    bindings = checkpoint(ordered.where(binding).select("n", "id", "app_user_id", "object_id").join(known, "app_user_id", "left"))
 
     # Customer bindings as intervals of the arrival order: a user's customer id
     # holds until the user's next binding.
@@ -77,10 +79,11 @@ def fold(
     )
     upper = (ordered.agg(F.max("n")).first()[0] or 0) + 1
     intervals = next_in_key(starts.unionByName(bound), "user_id", "start", "stop")
-    intervals = intervals.withColumn("stop", F.coalesce("stop", F.lit(upper)))
+    intervals = checkpoint(intervals.withColumn("stop", F.coalesce("stop", F.lit(upper))))
     owners = stabbing_min(subscription, intervals, "customer_id", "n", "n", "user_id", upper)
 
-    effects = subscription.join(owners, "n").select("n", "id", "user_id", "tier", "n_bound")
+    # users, rejects and processed events all follow from these
+    effects = checkpoint(subscription.join(owners, "n").select("n", "id", "user_id", "tier", "n_bound"))
     bad_tier = effects.where(~is_tier(F.col("tier"))).select("id", F.lit("invalid_tier").alias("error_code"))
     # a well-formed id of no user binds nothing and is done; a malformed one can never be applied
     malformed = F.col("known").isNull() & ~is_uuid(F.col("app_user_id"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.session import checkpoint
+
 FAN = 4
 BUCKET_ROWS = 100_000
 # directories a lookup names one by one; beyond it reads all and joins
@@ -77,7 +79,8 @@ class KeyedLog:
 
     def lookup(self, runs: list[Run], keys: DataFrame) -> DataFrame:
         """The rows whose ``by`` is in the one column of ``keys``."""
-        wanted = keys.select(F.col(keys.columns[0]).alias(self.by)).where(F.col(self.by).isNotNull()).distinct()
+        # found once; every run is joined with it
+        wanted = checkpoint(keys.select(F.col(keys.columns[0]).alias(self.by)).where(F.col(self.by).isNotNull()).distinct())
         most = max((run.buckets for run in runs), default=1)
         listed = wanted.select(self._bucket(most)).distinct().limit(MAX_LISTED + 1).collect() if most > 1 else []
         parts = []

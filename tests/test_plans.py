@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.tiers import TIER_BUCKETS, Bucket
 from engram.operators import paging, ratelimit, usage
+from engram.plans import intervals, skew
 from engram.plans.intervals import stabbing_min
 from engram.plans.ordered import arrival_numbers, next_in_key, numbered
 from engram.plans.skew import hot_keys, salted_lookup
@@ -70,6 +71,27 @@ def test_stabbing_min(spark, upper):
     assert got == want
 
 
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_stabbing_min_writes_blocks_of_crowded_keys_only(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(intervals, "FEW", 5)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    held, blocks = [("few", 0, 900, "b"), ("few", 10, 1000, "a"), ("few", 5, 5, "0"), (None, 0, 1000, "n")], []
+    held += [("many", i, 1000 - i, f"u{i}") for i in range(9)]
+    s = spark.createDataFrame(held, "k string, start bigint, stop bigint, u string")
+    p = spark.createDataFrame([(i, k, at) for i, (k, at) in enumerate((k, at) for k in ("few", "many", None) for at in range(0, 1000, 7))], "pid bigint, k string, at bigint")
+    whole = intervals._by_blocks
+    monkeypatch.setattr(intervals, "_by_blocks", lambda points, rows, *rest: blocks.extend(rows.select("k").collect()) or whole(points, rows, *rest))
+    got = {r.pid: (r.u, r.n_bound) for r in stabbing_min(p, s, "k", "pid", "at", "u", 1000).collect()}
+    want = {}
+    for r in p.collect():
+        over = [u for k, a, b, u in held if k is not None and k == r.k and a <= r.at < b]
+        if over:
+            want[r.pid] = (min(over), len(over))
+    assert got == want
+    # one row per interval of the crowded key; those of the other keys are never written as blocks
+    assert [r.k for r in blocks] == ["many"] * 9
+
+
 def serve_calls(calls, buckets):
     units, held, out = ratelimit.Units.of(buckets), {}, {}
     for key, tier, ts, seq in sorted(calls, key=lambda c: (c[0], c[2], c[3])):
