@@ -23,6 +23,8 @@ from engram.session import checkpoint
 PART_ROWS, MOST_PARTS = 50_000, 200
 # arrivals whose ids may be broadcast
 FEW_ROWS = 200_000
+# changed or deleted ids that may be broadcast to find the rows of a table that stay as they are
+FEW_CHANGED = 1_000_000
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -168,7 +170,7 @@ def update(
     )
     has_text = F.col("content_hash").isNotNull()
     # last given value per column
-    last = (
+    last = checkpoint(
         judged.where(F.col("error_code").isNull() & (has_text | F.col("has_metadata")))
         .groupBy("id")
         .agg(
@@ -181,19 +183,24 @@ def update(
     texts = texts.join(last.select("content_seq"), "content_seq", "left_semi")
     texts = (embed or mock_embedder())(with_normalized(texts, "content", "content"))
     metas = requests.select(F.col("seq").alias("metadata_seq"), "metadata")
-    changes = last.join(texts, "content_seq", "left").join(metas, "metadata_seq", "left").select(
+    # the texts come last, since they bring the vectors
+    changes = last.join(metas, "metadata_seq", "left").join(texts, "content_seq", "left").select(
         "id", *[F.col(c).alias("new_" + c) for c in ("content", "content_hash", "embedding", "metadata")],
         F.lit(as_of).cast("timestamp").alias("new_updated_at"),
     )
-    return _apply(memories, changes), outcomes
+    return _apply(memories, changes, last.select("id")), outcomes
 
 
-def _apply(memories: DataFrame, changes: DataFrame) -> DataFrame:
-    joined = memories.join(changes, "id", "left")
+def _apply(memories: DataFrame, changes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The table after ``changes``, which has each of ``ids`` (distinct, checkpointed). Only rows that change are shuffled."""
     columns = [
         F.coalesce("new_" + c, c).alias(c) if "new_" + c in changes.columns else F.col(c) for c in memories.columns
     ]
-    return joined.select(*columns)
+    if ids.count() > FEW_CHANGED:
+        return memories.join(changes, "id", "left").select(*columns)
+    listed = F.broadcast(ids)
+    changed = memories.join(listed, "id", "left_semi").join(changes, "id").select(*columns)
+    return memories.join(listed, "id", "left_anti").select(*memories.columns).unionByName(changed)
 
 
 UPDATABLE = ["content", "metadata", "namespace", "embedding", "content_hash"]
@@ -214,9 +221,9 @@ def update_fields(memories: DataFrame, requests: DataFrame, as_of) -> tuple[Data
         "seq", "id", F.when(F.col("error_code").isNull(), F.col("updated_fields")).alias("updated_fields"), "error_code"
     )
     last_given = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias("new_" + c) for c in UPDATABLE]
-    changes = asked.where(F.col("error_code").isNull() & (F.size("updated_fields") > 0)).groupBy("id").agg(*last_given)
-    changes = changes.withColumn("new_updated_at", F.lit(as_of).cast("timestamp"))
-    return _apply(memories, changes), outcomes
+    accepted = asked.where(F.col("error_code").isNull() & (F.size("updated_fields") > 0))
+    changes = accepted.groupBy("id").agg(*last_given).withColumn("new_updated_at", F.lit(as_of).cast("timestamp"))
+    return _apply(memories, changes, checkpoint(accepted.select("id").distinct())), outcomes
 
 
 def forget(memories: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +242,9 @@ def forget(memories: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFra
 
 def delete_ids(memories: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(survivors, deleted ids) for a frame of (id, user_id)."""
-    keys = wanted.select("id", "user_id").distinct()
+    keys = checkpoint(wanted.select("id", "user_id").distinct())
+    # the rows that stay are not shuffled
+    keys = F.broadcast(keys) if keys.count() <= FEW_CHANGED else keys
     deleted = memories.select("id", "user_id").join(keys, ["id", "user_id"], "left_semi")
     return memories.join(keys, ["id", "user_id"], "left_anti"), deleted
 

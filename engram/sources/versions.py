@@ -5,6 +5,10 @@ A folder holds ``data/run=<name>/part=<n>`` (rows by a hash of the user) and
 exists once its manifest does, which is created in one step and never
 replaced, so of two writers one fails and reads the table again, and a job
 that was killed leaves files that no version names.
+
+Rows for a few partitions are written by the tasks that hold them, without a
+shuffle, one file per task and partition; those for many are dealt by
+partition first, so that no task writes a file for each.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from engram.sources.manifests import Manifests, VersionConflict
 PART_ROWS = 200_000
 # a batch of users in at most this many partitions names them; a wider one reads all
 MAX_LISTED = 10_000
+# partitions that a task may write a file for
+FEW_PARTS = 32
 
 Change = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -38,10 +44,14 @@ class VersionedMemories:
     def _part(self, parts: int):
         return F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int").alias("part")
 
-    def _write(self, rows: DataFrame, parts: int, run: str) -> list[int]:
-        """Write ``rows`` as a run; the partitions that have any. A user over the partition size fills several files."""
-        spread = F.pmod(F.xxhash64("id"), F.lit(8))
-        placed = rows.select(*self.schema.names, self._part(parts)).repartition("part", spread)
+    def _write(self, rows: DataFrame, parts: int, run: str, few: bool) -> list[int]:
+        """Write ``rows`` as a run; the partitions that have any. A user over the partition size fills several files.
+
+        ``few``: the rows are known to fill at most ``FEW_PARTS`` partitions.
+        """
+        placed = rows.select(*self.schema.names, self._part(parts))
+        if not few:
+            placed = placed.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8)))
         path = f"{self.path}/data/run={run}"
         placed.sortWithinPartitions("part", "user_id", "namespace", "created_at", "id").write.partitionBy("part").parquet(path)
         written = self.spark.read.schema("part int").option("basePath", path).parquet(path)
@@ -56,11 +66,12 @@ class VersionedMemories:
 
     def create(self, memories: DataFrame, part_rows: int = PART_ROWS) -> int:
         """Version 0 of the table."""
-        parts = 1
-        while parts * part_rows < memories.count():
+        parts, n = 1, memories.count()
+        while parts * part_rows < n:
             parts *= 2
+        few = parts <= FEW_PARTS or memories.select(self._part(parts)).distinct().count() <= FEW_PARTS
         run = uuid.uuid4().hex
-        self.manifests.publish(0, {"parts": parts, "runs": {str(p): run for p in self._write(memories, parts, run)}})
+        self.manifests.publish(0, {"parts": parts, "runs": {str(p): run for p in self._write(memories, parts, run, few)}})
         return 0
 
     def read(self, version: int | None = None, users: DataFrame | None = None) -> DataFrame:
@@ -88,7 +99,7 @@ class VersionedMemories:
         before = self._read(manifest, touched)
         after, outcomes = change(before)
         run = uuid.uuid4().hex
-        filled = set(self._write(after, manifest["parts"], run))
+        filled = set(self._write(after, manifest["parts"], run, touched is not None and len(touched) <= FEW_PARTS))
         if touched is not None and not filled <= touched:
             remove(self.spark, [f"{self.path}/data/run={run}"])
             raise ValueError("the change wrote rows of users that the batch does not name")

@@ -124,3 +124,26 @@ def test_empty_table_and_empty_batch(spark, tmp_path):
     none = updates(spark, [])
     version, outcomes = table.commit(none, lambda rows: writes.update(rows, none, AS_OF, writes.mock_embedder(DIM)))
     assert version == 1 and table.read().count() == 0 and outcomes.count() == 0
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_few_partitions_are_written_where_their_rows_lie(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("engram.sources.versions.FEW_PARTS", few)
+    made = VersionedMemories(spark, str(tmp_path))
+    rows = memories(spark, 240)
+    task = {r.id: r.task for r in rows.select("id", F.spark_partition_id().alias("task")).collect()}
+    made.create(rows, part_rows=8)
+
+    def widest(version):
+        held = {}
+        for r in made.read(version).select("id", F.input_file_name().alias("file")).collect():
+            held.setdefault(r.file, set()).add(task[r.id])
+        return max(len(tasks) for tasks in held.values())
+
+    # a file has rows of one task, or of many where a shuffle has dealt them
+    assert (widest(0) == 1) == (few > 0)
+    changes = updates(spark, [(1, "3", "u3", "new text", None), (2, "16", "u4", None, '{"a":1}')])
+    made.commit(changes, lambda r: writes.update(r, changes, AS_OF, writes.mock_embedder(DIM)))
+    whole, _ = writes.update(rows, changes, AS_OF, writes.mock_embedder(DIM))
+    assert content(made.read(0)) == content(rows) and content(made.read(1)) == content(whole)
+    assert made.read(1).count() == 240

@@ -296,3 +296,26 @@ def test_insert_once_sorts_in_bounded_parts(spark, monkeypatch):
         if i is None or i % 3:
             wanted[i] = min(wanted.get(i, at), at)
     assert {r.id: r.received_at for r in got.collect()} == wanted
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """An update and a deletion leave the other rows in the task that read them."""
+    rows = spark.range(0, 400, 1, 4).select(
+        F.col("id").cast("string").alias("id"), F.lit("u").alias("user_id"), F.lit("n").alias("namespace"), F.concat(F.lit("text "), F.col("id")).alias("content"),
+        F.lit("{}").alias("metadata"), F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")).alias("embedding"),
+        F.sha2(F.concat(F.lit("text "), F.col("id")), 256).alias("content_hash"), F.lit(AS_OF).cast("timestamp").alias("created_at"), F.lit(AS_OF).cast("timestamp").alias("updated_at"),
+    )
+    asked = update_frame(spark, [(i, "u", str(i * 50), f"new {i}", None) for i in range(8)])
+    broadcast_up_to = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for new, left in ((writes.update(rows, asked, AS_OF, writes.mock_embedder(2))[0], 400), (writes.forget(rows, asked)[0], 392)):
+            got = new.select("id", "content", F.spark_partition_id().alias("task")).collect()
+            assert len(got) == left
+            read_by = {}
+            for r in got:
+                if r.content.startswith("text"):
+                    read_by.setdefault(r.task, set()).add(int(r.id) // 100)
+            assert len(read_by) == 4 and all(len(x) == 1 for x in read_by.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_up_to)
