@@ -28,8 +28,10 @@ from engram.llm.common import prefix_hash, range_hash, row_key, units
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 2.0
-_BATCH_BYTES = 1 << 20
+# a word's lattice is made once per batch
+_BATCH_BYTES = 3 << 20
 _SIEVE_BITS = 20
+_SIEVE_SHIFT = np.uint64(64 - _SIEVE_BITS)
 
 
 class Vocabulary:
@@ -61,21 +63,34 @@ class Vocabulary:
         self.ids = np.array([of.get(s, -1) for s in known], np.int32)[order]
         self.weights = -sharpness * np.log(np.array([rank.get(of.get(s, -1), 0.0) for s in known])[order] + 2)
         self.longer = np.array([s in begins for s in known])[order]
-        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
-        self.sieve[(self.hashes >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
+        # where the hashes of each beginning start
+        self.begin = np.searchsorted(self.hashes >> _SIEVE_SHIFT, np.arange((1 << _SIEVE_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        self.sieve = self.begin[1:] > self.begin[:-1]
+        self.text_of = np.full(max(self.bytes_of) + 1, None, object)
+        self.text_of[list(self.bytes_of)] = list(self.bytes_of.values())
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are in the table, and where."""
-        some = np.flatnonzero(self.sieve[(wanted >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, wanted[some]), len(self.hashes) - 1)
-        there = self.hashes[at] == wanted[some]
+        beginning = (wanted >> _SIEVE_SHIFT).astype(np.int64)
+        some = np.flatnonzero(self.sieve[beginning])
+        asked = wanted[some]
+        at = self.begin[beginning[some]]
+        # few hashes share a beginning
+        behind = np.flatnonzero(self.hashes[at] < asked)
+        while len(behind):
+            at[behind] = np.minimum(at[behind] + 1, len(self.hashes) - 1)
+            behind = behind[(self.hashes[at[behind]] < asked[behind]) & (at[behind] < len(self.hashes) - 1)]
+        there = np.flatnonzero(self.hashes[at] == asked)
         return some[there], at[there]
 
-
     def decode(self, ids: np.ndarray) -> bytes | None:
         """The bytes of a text: those of its pieces without the space put before it; None if an id has none."""
-        parts = list(map(self.bytes_of.get, ids.tolist()))
-        return None if None in parts else b"".join(parts)[1:]
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.text_of):
+            return None
+        try:
+            return b"".join(self.text_of[ids].tolist())[1:]
+        except TypeError:
+            return None
 
 
 def _hash_of(value: bytes) -> np.ndarray:
@@ -168,6 +183,8 @@ class Lattice:
     def ids(self, edges: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
         pieces = self.piece[edges]
         lone = np.flatnonzero(pieces < 0)
+        if len(lone) == 0:
+            return pieces
         c = self.source[edges[lone]]
         sizes = np.ones(len(edges), np.int64)
         sizes[lone] = self.after[c] - self.chars[c]
@@ -181,18 +198,29 @@ class Lattice:
 def _walk(lattice: Lattice, nodes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Edges of paths drawn from each character to its word's end, word after word."""
     place, parts = np.arange(len(nodes)), []
+    words = len(nodes)
     while len(nodes):
         edges, drawn = lattice.first[nodes], rng.random(len(nodes))
-        later = np.flatnonzero(drawn >= lattice.upto[edges])
+        later = (drawn >= lattice.upto[edges]).nonzero()[0]
+        drawn, edge = drawn[later], edges[later]
         while len(later):
-            edges[later] += 1
-            later = later[drawn[later] >= lattice.upto[edges[later]]]
+            edge = edge + 1
+            edges[later] = edge
+            more = (drawn >= lattice.upto[edge]).nonzero()[0]
+            later, drawn, edge = later[more], drawn[more], edge[more]
         parts.append((place, edges))
         nodes = lattice.target[edges]
         inside = nodes >= 0
         place, nodes = place[inside], nodes[inside]
-    place, edges = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
-    return edges[np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")]
+    if not parts:
+        return np.zeros(0, np.int64)
+    place, edges = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # a word's edges stand side by side, one for each step
+    size = np.bincount(place, minlength=words)
+    step = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
+    out = np.empty_like(edges)
+    out[(np.cumsum(size) - size)[place] + step] = edges
+    return out
 
 
 def _below(top: float, where: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -201,6 +229,14 @@ def _below(top: float, where: np.ndarray, rng: np.random.Generator) -> np.ndarra
         return -np.logaddexp(-top, np.log(-np.log(rng.random(len(where)))) - where)
 
 
+def _highest(values: np.ndarray, n: int) -> np.ndarray:
+    """The places of the ``n`` highest values, falling; of equal ones the first."""
+    if len(values) <= n:
+        return np.argsort(-values, kind="stable")
+    some = np.flatnonzero(values >= np.partition(values, len(values) - n)[len(values) - n])
+    return some[np.argsort(-values[some], kind="stable")[:n]]
+
+
 def sample(lattice: Lattice, words: np.ndarray, k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
     """Up to k distinct paths: (edges, log probability, perturbed value, log inclusion score)."""
     rng = np.random.Generator(np.random.Philox(key=seed))
@@ -217,7 +253,7 @@ def sample(lattice: Lattice, words: np.ndarray, k: int, seed: int) -> list[tuple
         open_at = np.arange(fixed, len(path))
         values = _below(value, above[open_at] + lattice.log_rest[path[open_at]], rng)
         # no more branches of one path than samples can be opened
-        for i in np.argsort(-values, kind="stable")[: k + 1].tolist():
+        for i in _highest(values, k + 1).tolist():
             if values[i] > -np.inf:
                 entered += 1
                 heapq.heappush(heap, (-float(values[i]), entered, path, int(open_at[i]), (int(path[open_at[i]]),)))
@@ -228,7 +264,7 @@ def sample(lattice: Lattice, words: np.ndarray, k: int, seed: int) -> list[tuple
         if len(found) == k:
             return _scored(found, value)
         edges = lattice.edges_at(int(path[at]))
-        edges = edges[~np.isin(edges, used)]
+        edges = edges[[e not in used for e in edges.tolist()]]
         share = np.exp(lattice.log_share[edges])
         total = float(share.sum())
         edge = int(edges[min(len(edges) - 1, np.searchsorted(np.cumsum(share), rng.random() * total, side="right"))])
@@ -274,7 +310,12 @@ def number_words(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     begins[1:-1] |= space[1:] & ~space[:-1]
     starts = np.flatnonzero(begins[:-1])
     ends = np.append(starts[1:], len(body))
-    _, first, number = np.unique(range_hash(prefix_hash(body), starts, ends), return_index=True, return_inverse=True)
+    _, first, number, often = np.unique(range_hash(prefix_hash(body), starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    # frequent words first, so that their lattices lie close together
+    order = np.argsort(-often, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    first, number = first[order], place[number]
     distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     return distinct, np.split(number, np.searchsorted(starts, marks[1:-1])) if texts else []
 

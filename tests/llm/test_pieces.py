@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 import __spark_entry__ as entry
@@ -90,3 +91,33 @@ def test_query_round_trips(spark, sf):
     got = rows.collect()
     assert all(r.round_trip for r in got) and len({r.doc_id for r in got}) == n
     assert all(r.log_inclusion <= 0 and r.log_prob <= 0 for r in got)
+
+
+def test_a_words_lattice_is_made_once_for_megabytes_of_text(monkeypatch):
+    made = []
+
+    class Counted(pieces.Lattice):
+        def __init__(self, words, vocabulary):
+            made.append(len(words))
+            super().__init__(words, vocabulary)
+
+    monkeypatch.setattr(pieces, "Lattice", Counted)
+    texts = ["some words again " * 4_000] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(range(40), pa.int64())], ["doc_id", "text", "key"])
+    rows = list(pieces._encode(pieces.MODEL, 2, pieces.SHARPNESS, 0)(iter([batch])))
+    assert made == [4] and sum(r.num_rows for r in rows) == 80
+    assert all(all(r.column("round_trip").to_pylist()) for r in rows)
+
+
+def test_find_and_highest_equal_a_search_and_a_sort():
+    vocabulary = pieces._vocabulary(pieces.MODEL, pieces.SHARPNESS)
+    rng = np.random.default_rng(1)
+    edge = np.array([0, 1, 2**64 - 1], np.uint64)
+    wanted = np.concatenate((rng.permutation(vocabulary.hashes), rng.integers(0, 2**64, 50_000, np.uint64), vocabulary.hashes[:2000] + np.uint64(1), vocabulary.hashes[-2000:] - np.uint64(1), edge))
+    at = np.minimum(np.searchsorted(vocabulary.hashes, wanted), len(vocabulary.hashes) - 1)
+    some = np.flatnonzero(vocabulary.hashes[at] == wanted)
+    found, where = vocabulary.find(wanted)
+    assert (found == some).all() and (where == at[some]).all()
+    for n in (0, 1, 3, 4, 50):
+        for values in (rng.random(n), rng.integers(0, 3, n).astype(float), np.full(n, -np.inf)):
+            assert (pieces._highest(values, 3) == np.argsort(-values, kind="stable")[:3]).all()
