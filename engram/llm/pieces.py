@@ -30,6 +30,8 @@ SAMPLES = 2
 SHARPNESS = 2.0
 # a word's lattice is made once per batch
 _BATCH_BYTES = 3 << 20
+# words whose lattices are made at a time, and text whose words are hashed at a time
+_BLOCK_BYTES = 1 << 18
 _SIEVE_BITS = 20
 _SIEVE_SHIFT = np.uint64(64 - _SIEVE_BITS)
 
@@ -113,63 +115,22 @@ class Lattice:
     """
 
     def __init__(self, words: list[bytes], vocabulary: Vocabulary):
-        body = np.frombuffer(b"".join(words), np.uint8)
-        begin = np.cumsum([0, *map(len, words)])[:-1]
-        chars = np.flatnonzero((body & 0xC0) != 0x80)
-        self.start = np.searchsorted(chars, begin)
-        sizes = np.diff(np.append(self.start, len(chars)))
-        end = np.repeat(self.start + sizes, sizes)
-        self.raw, self.chars, self.after = body, chars, np.append(chars[1:], len(body))
-        running = prefix_hash(body)
-        at, found, count = np.arange(len(chars)), [], np.zeros(len(chars), np.int64)
-        for n in range(1, vocabulary.longest + 1):
-            at = at[at + n <= end[at]]
-            if len(at) == 0:
-                break
-            some, where = vocabulary.find(range_hash(running, chars[at], self.after[at + n - 1]))
-            whole = vocabulary.ids[where] >= 0
-            hit, of = at[some[whole]], where[whole]
-            if n == 1:
-                lone = np.ones(len(chars), bool)
-                lone[hit] = False
-                lone = np.flatnonzero(lone)
-                found.append((lone, count[lone], 1, np.int32(-1), (self.after[lone] - chars[lone]) * vocabulary.byte_weight))
-            found.append((hit, count[hit], n, vocabulary.ids[of], vocabulary.weights[of]))
-            count[hit] += 1
-            if n == 1:
-                count[lone] += 1
-            at = at[some[vocabulary.longer[where]]]
-        self.first = np.concatenate(([0], np.cumsum(count)))
-        total = int(self.first[-1])
-        self.source, self.target = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        self.piece, weight = np.zeros(total, np.int32), np.zeros(total)
-        for source, rank, n, piece, w in found:
-            e = self.first[source + 1] - 1 - rank
-            self.source[e], self.piece[e], weight[e] = source, piece, w
-            self.target[e] = np.where(source + n == end[source], -1, source + n)
-        # characters by how many are left of their word: the mass behind one needs only those with fewer
-        left = end - np.arange(len(chars))
-        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
-        marks = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2)).tolist()
-        # one more place, with nothing behind it, for the end of a word
-        behind = np.zeros(len(chars) + 1)
-        for a, b in zip(marks[:-1], marks[1:], strict=True):
-            i = order[a:b]
-            if len(i):
-                many = count[i]
-                heads = np.cumsum(many) - many
-                e = np.repeat(self.first[i] - heads, many) + np.arange(many.sum())
-                behind[i] = np.logaddexp.reduceat(weight[e] + behind[self.target[e]], heads)
-        self.log_share = np.minimum(0.0, weight + behind[self.target] - behind[self.source])
-        share = np.exp(self.log_share)
-        upto = np.cumsum(share)
-        self.upto = upto - (upto - share)[self.first[self.source]]
-        self.upto[self.first[1:] - 1] = np.inf
-        # mass of a character's other edges; that beside a main edge is summed, as one minus it would round to nothing
-        main = share > 0.5
-        beside = np.add.reduceat(np.where(main, 0.0, share), self.first[:-1]) if total else share
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log(np.where(main, beside[self.source], 1.0 - share))
+        marks = np.cumsum([0, *map(len, words)])
+        cuts = [0, *(np.flatnonzero(np.diff(marks[:-1] // _BLOCK_BYTES)) + 1).tolist(), len(words)]
+        self.raw = np.frombuffer(b"".join(words), np.uint8)
+        # walks are faster on whole words, so only numbers they do not read are narrowed
+        narrow = np.int32 if len(self.raw) < 1 << 31 else np.int64
+        parts, n_chars, n_edges = [], 0, 0
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            start, chars, first, source, target, *rest = _lattice_of(words[i:j], vocabulary)
+            target[target >= 0] += n_chars
+            parts.append([start + n_chars, (chars + marks[i]).astype(narrow), first + n_edges, (source + n_chars).astype(narrow), target, *rest])
+            n_chars, n_edges = n_chars + len(chars), n_edges + len(source)
+        # a field's parts are dropped once joined
+        joined = (np.concatenate([p.pop(0) for p in parts]) for _ in range(len(parts[0])))
+        self.start, self.chars, first, self.source, self.target, self.piece, self.log_share, self.upto, self.log_rest = joined
+        self.first = np.append(first, n_edges)
+        self.after = np.append(self.chars[1:], narrow(len(self.raw)))
 
     def closes(self, edges: np.ndarray) -> np.ndarray:
         """Whether an edge ends its word."""
@@ -195,6 +156,68 @@ class Lattice:
         return out
 
 
+def _lattice_of(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
+    """The arrays of ``Lattice`` for some of its words, numbered from their first."""
+    body = np.frombuffer(b"".join(words), np.uint8)
+    begin = np.cumsum([0, *map(len, words)])[:-1]
+    chars = np.flatnonzero((body & 0xC0) != 0x80)
+    start = np.searchsorted(chars, begin)
+    sizes = np.diff(np.append(start, len(chars)))
+    end = np.repeat(start + sizes, sizes)
+    after = np.append(chars[1:], len(body))
+    running = prefix_hash(body)
+    at, found, count = np.arange(len(chars)), [], np.zeros(len(chars), np.int64)
+    for n in range(1, vocabulary.longest + 1):
+        at = at[at + n <= end[at]]
+        if len(at) == 0:
+            break
+        some, where = vocabulary.find(range_hash(running, chars[at], after[at + n - 1]))
+        whole = vocabulary.ids[where] >= 0
+        hit, of = at[some[whole]], where[whole]
+        if n == 1:
+            lone = np.ones(len(chars), bool)
+            lone[hit] = False
+            lone = np.flatnonzero(lone)
+            found.append((lone, count[lone], 1, np.int32(-1), (after[lone] - chars[lone]) * vocabulary.byte_weight))
+        found.append((hit, count[hit], n, vocabulary.ids[of], vocabulary.weights[of]))
+        count[hit] += 1
+        if n == 1:
+            count[lone] += 1
+        at = at[some[vocabulary.longer[where]]]
+    first = np.concatenate(([0], np.cumsum(count)))
+    total = int(first[-1])
+    source, target = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    piece, weight = np.zeros(total, np.int32), np.zeros(total)
+    for c, rank, n, own, w in found:
+        e = first[c + 1] - 1 - rank
+        source[e], piece[e], weight[e] = c, own, w
+        target[e] = np.where(c + n == end[c], -1, c + n)
+    # characters by how many are left of their word: the mass behind one needs only those with fewer
+    left = end - np.arange(len(chars))
+    order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+    marks = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2)).tolist()
+    # one more place, with nothing behind it, for the end of a word
+    behind = np.zeros(len(chars) + 1)
+    for a, b in zip(marks[:-1], marks[1:], strict=True):
+        i = order[a:b]
+        if len(i):
+            many = count[i]
+            heads = np.cumsum(many) - many
+            e = np.repeat(first[i] - heads, many) + np.arange(many.sum())
+            behind[i] = np.logaddexp.reduceat(weight[e] + behind[target[e]], heads)
+    log_share = np.minimum(0.0, weight + behind[target] - behind[source])
+    share = np.exp(log_share)
+    upto = np.cumsum(share)
+    upto = upto - (upto - share)[first[source]]
+    upto[first[1:] - 1] = np.inf
+    # mass of a character's other edges; that beside a main edge is summed, as one minus it would round to nothing
+    main = share > 0.5
+    beside = np.add.reduceat(np.where(main, 0.0, share), first[:-1]) if total else share
+    with np.errstate(divide="ignore"):
+        log_rest = np.log(np.where(main, beside[source], 1.0 - share))
+    return start, chars, first[:-1], source, target, piece, log_share, upto, log_rest
+
+
 def _walk(lattice: Lattice, nodes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Edges of paths drawn from each character to its word's end, word after word."""
     place, parts = np.arange(len(nodes)), []
@@ -310,7 +333,13 @@ def number_words(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     begins[1:-1] |= space[1:] & ~space[:-1]
     starts = np.flatnonzero(begins[:-1])
     ends = np.append(starts[1:], len(body))
-    _, first, number, often = np.unique(range_hash(prefix_hash(body), starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    hashes = np.empty(len(starts), np.uint64)
+    cuts = [0, *(np.flatnonzero(np.diff(starts // _BLOCK_BYTES)) + 1).tolist(), len(starts)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i < j:
+            at = starts[i]
+            hashes[i:j] = range_hash(prefix_hash(body[at : ends[j - 1]]), starts[i:j] - at, ends[i:j] - at)
+    _, first, number, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     # frequent words first, so that their lattices lie close together
     order = np.argsort(-often, kind="stable")
     place = np.empty_like(order)
@@ -346,6 +375,8 @@ def _encode(path: str, k: int, sharpness: float, seed: int):
                     rows, held = [], 0
             if rows:
                 yield _batch(rows)
+            # not beside the next one
+            del lattice
 
     return run
 

@@ -1,4 +1,5 @@
 import collections
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,35 @@ def test_find_and_highest_equal_a_search_and_a_sort():
     for n in (0, 1, 3, 4, 50):
         for values in (rng.random(n), rng.integers(0, 3, n).astype(float), np.full(n, -np.inf)):
             assert (pieces._highest(values, 3) == np.argsort(-values, kind="stable")[:3]).all()
+
+
+def test_a_lattice_made_in_blocks_is_the_same(monkeypatch):
+    vocabulary = pieces._vocabulary(pieces.MODEL, pieces.SHARPNESS)
+    texts = [(t or "").encode() for t in TEXTS]
+    whole, numbers = pieces.number_words(texts)
+    one = pieces.Lattice(whole, vocabulary)
+    monkeypatch.setattr(pieces, "_BLOCK_BYTES", 3)
+    words, again = pieces.number_words(texts)
+    assert words == whole and all((x == y).all() for x, y in zip(numbers, again, strict=True))
+    many = pieces.Lattice(words, vocabulary)
+    for name in ("raw", "start", "chars", "after", "first", "source", "target", "piece", "log_share", "log_rest"):
+        assert np.array_equal(getattr(one, name), getattr(many, name)), name
+    assert np.allclose(one.upto, many.upto, rtol=0, atol=1e-9)
+    assert len(pieces.Lattice([], vocabulary).source) == 0
+
+
+def test_memory_of_a_batch_of_distinct_words():
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (2, 120, 1500, 10), np.uint8)
+    letters[..., 9] = 32
+    texts = [t.tobytes().decode() for t in letters.reshape(240, -1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240), pa.int64()), pa.array(texts), pa.array(range(240), pa.int64())], ["doc_id", "text", "key"])
+    pieces._vocabulary(pieces.MODEL, pieces.SHARPNESS)
+    tracemalloc.start()
+    try:
+        rows = sum(r.num_rows for r in pieces._encode(pieces.MODEL, 1, pieces.SHARPNESS, 0)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 3.6 MB of text, whose second batch is not read beside the lattice of the first
+    assert rows == 240 and peak < 640 << 20, peak >> 20
